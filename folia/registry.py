@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules with QUERIES (name -> callable) and ORACLES (name -> SQL).
-MODULES: tuple[str, ...] = ()
+MODULES: tuple[str, ...] = ("folia.operators.rules",)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
