@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules with QUERIES (name -> callable) and ORACLES (name -> SQL).
-MODULES: tuple[str, ...] = ("folia.operators.canvas", "folia.operators.rules", "folia.operators.sequence")
+MODULES: tuple[str, ...] = ("folia.operators.canvas", "folia.operators.document", "folia.operators.rules", "folia.operators.sequence")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
