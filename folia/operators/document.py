@@ -49,12 +49,15 @@ def running_keys(pages: DataFrame) -> DataFrame:
 
 
 def strip_running(pages: DataFrame) -> DataFrame:
-    """Pages without the repeats of running lines; the first page keeps them."""
-    rows = page_lines(pages).withColumn("key", p.furniture_key(F.col("line")))
-    keys = running_keys(pages)
-    out = rows.join(keys, ["doc_id", "key"], "left")
-    gone = (F.col("n") > 2 * BAND) & F.col("rank").isNotNull() & in_band() & is_candidate(F.col("line")) & (F.col("page") > F.col("first_page"))
-    return join_lines(out.filter(~F.coalesce(gone, F.lit(False))))
+    """Pages without the repeats of running lines; the first page keeps them. One pass: windows count a key's pages."""
+    rows = page_lines(pages)
+    ok = (F.col("n") > 2 * BAND) & F.col("rank").isNotNull() & in_band() & is_candidate(F.col("line"))
+    rows = rows.withColumn("key", F.when(ok, p.furniture_key(F.col("line")))).withColumn("key", F.when(F.col("key") != "", F.col("key")))
+    once = (F.row_number().over(W.partitionBy(*PAGE, "key").orderBy("line_no")) == 1) & F.col("key").isNotNull()
+    w = W.partitionBy("doc_id", "key")
+    rows = rows.withColumn("once", once).withColumn("n_pages", F.sum(F.col("once").cast("int")).over(w)).withColumn("first_page", F.min("page").over(w))
+    gone = F.col("key").isNotNull() & (F.col("n_pages") >= MIN_PAGES) & (F.col("page") > F.col("first_page"))
+    return join_lines(rows.filter(~gone))
 
 
 def counter_documents(pages: DataFrame) -> DataFrame:
@@ -65,11 +68,15 @@ def counter_documents(pages: DataFrame) -> DataFrame:
 
 
 def strip_counters(pages: DataFrame) -> DataFrame:
+    """Pages without counters, in documents where they are corroborated."""
     rows = page_lines(pages)
-    own = counter_documents(pages).select("doc_id", F.lit(True).alias("counted"))
-    rows = rows.join(own, "doc_id", "left")
-    gone = F.col("counted") & F.col("rank").isNotNull() & in_band() & p.counter(F.col("line"))["n"].isNotNull()
-    return join_lines(rows.filter(~F.coalesce(gone, F.lit(False))))
+    c = p.counter(F.col("line"))
+    rows = rows.withColumn("c", F.when(F.col("rank").isNotNull() & in_band() & c["n"].isNotNull(), c))
+    w = W.partitionBy("doc_id")
+    differ = lambda x: F.min(x).over(w) < F.max(x).over(w)
+    page, n, m = F.when(F.col("c").isNotNull(), F.col("page")), F.col("c.n"), F.col("c.m")
+    sure = differ(page) & differ(n) & ~F.coalesce(differ(m), F.lit(False))
+    return join_lines(rows.withColumn("sure", sure).filter(~F.coalesce(F.col("sure") & F.col("c").isNotNull(), F.lit(False))))
 
 
 def blocks_of(pages: DataFrame) -> DataFrame:
@@ -84,15 +91,43 @@ def blocks_of(pages: DataFrame) -> DataFrame:
     return made.withColumn("key", key)
 
 
-def repeated_blocks(pages: DataFrame) -> DataFrame:
-    """doc_id, key, first_page, n_pages of blocks that recur at the edges of at least three pages."""
+def block_key(rows: DataFrame) -> DataFrame:
+    """blocks_of with key null where a block can't be furniture."""
     two_words = F.exists(F.split("block", "\n", -1), lambda x: F.size(F.filter(p.words(x), lambda w: w.rlike(r"\p{L}"))) >= 2)
     ok = (F.size(F.split("block", "\n", -1)) <= BLOCK_LINES) & (F.octet_length("block") <= BLOCK_BYTES) & ~F.col("block").rlike(r"^\s*(!\[|<img)") & two_words
-    rows = blocks_of(pages).filter((F.col("n") > 2 * BLOCK_BAND) & in_band(BLOCK_BAND) & ok)
-    rows = rows.filter(F.length(F.regexp_replace("key", r"[^\p{L}\p{N}]+", "")) >= 8).select(*PAGE, "key").distinct()
+    ok = ok & (F.col("n") > 2 * BLOCK_BAND) & in_band(BLOCK_BAND) & (F.length(F.regexp_replace("key", r"[^\p{L}\p{N}]+", "")) >= 8)
+    return rows.withColumn("key", F.when(ok, F.col("key")))
+
+
+def repeated_blocks(pages: DataFrame) -> DataFrame:
+    """doc_id, key, first_page, n_pages of blocks that recur at the edges of at least three pages."""
+    rows = block_key(blocks_of(pages)).filter("key is not null").select(*PAGE, "key").distinct()
     return rows.groupBy("doc_id", "key").agg(F.min("page").alias("first_page"), F.count("*").alias("n_pages")).filter(F.col("n_pages") >= MIN_PAGES)
 
 
+def strip_blocks(pages: DataFrame) -> DataFrame:
+    """Pages without the repeats of blocks that recur at their edges; no page is emptied, and untouched pages stay as they are.
+
+    ``pages`` is read twice, for the repeated keys of each document and for the
+    pages themselves, so it should be a stored table.
+    """
+    found = repeated_blocks(pages).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("key", "first_page"))).alias("repeated"))
+    rows = pages.join(found, "doc_id", "left")
+    parts = F.filter(F.split("chunk", r"\n(?:[ \t]*\n)+", -1), lambda b: p.trim(b) != "")
+    key = lambda b: F.array_join(F.transform(F.split(b, "\n", -1), lambda x: p.furniture_key(x)), "\n")
+
+    def kept(blocks: F.Column) -> F.Column:
+        n = F.size(blocks)
+        edge = lambda i: (i < BLOCK_BAND) | (i + BLOCK_BAND >= n)
+        first = lambda b: F.get(F.filter(F.map_entries("repeated"), lambda e: e["key"] == key(b)), 0)["value"]
+        return F.when(n <= 2 * BLOCK_BAND, blocks).otherwise(F.filter(blocks, lambda b, i: ~F.coalesce(edge(i) & (F.col("page") > first(b)), F.lit(False))))
+
+    rows = rows.withColumn("parts", F.when(F.col("repeated").isNotNull(), parts)).withColumn("kept", F.when(F.col("parts").isNotNull(), kept(F.col("parts"))))
+    text = F.concat(F.lit("\n\n"), F.array_join("kept", "\n\n"), F.lit("\n\n"))
+    some = (F.size("kept") > 0) & (F.size("kept") < F.size("parts"))
+    return rows.select(*PAGE, F.when(F.coalesce(some, F.lit(False)), text).otherwise(F.col("chunk")).alias("chunk"))
+
+
 def tag_furniture(blocks: DataFrame) -> DataFrame:
     """Blocks (doc_id, page, kind, text, y0, y1) with kind header or footer where a short text repeats in the outer tenth of three pages."""
     w = W.partitionBy(*PAGE)
