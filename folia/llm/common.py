@@ -1,16 +1,7 @@
-"""What the training-data operators share: tables, scratch storage, cells, components.
-
-Scratch tables go below the folder that ``spark.checkpoint.dir`` names (all
-executors and the driver can reach it); a folder of our own is set only where
-the session has none, as in local tests.
-"""
+"""What the training-data operators share: tables, cells, components."""
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folia.plans.scratch import drop_materialized, materialize, scratch_path
+
+__all__ = ["WORD", "by_cell", "cells", "connected_components", "drop_materialized", "materialize", "runs", "scratch_path", "star", "table"]
+
 #: Words of the contracts: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -27,46 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The shared scratch folder, set to a local one only where none is configured."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="folia-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def discard(spark: SparkSession, path: str) -> None:
-    """Remove a scratch folder through Hadoop's file systems."""
-    with contextlib.suppress(Exception):
-        jvm = spark._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; whatever is left there goes when the driver ends."""
-    path = f"{shared_dir(spark)}/folia-{name}-{uuid.uuid4().hex}"
-    atexit.register(discard, spark, path)
-    return path
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to shared storage and read it back: its lineage ends there."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._folia_path = path
-    return out
-
-
-def drop_materialized(df: DataFrame) -> None:
-    """Remove a table of :func:`materialize` that no later plan reads."""
-    if path := getattr(df, "_folia_path", None):
-        discard(df.sparkSession, path)
-
-
 def connected_components(edges: DataFrame) -> DataFrame:
     """Component of every node that has an edge: columns ``node`` and ``component`` (long).
 
