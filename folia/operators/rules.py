@@ -33,7 +33,6 @@ def _sql(texts: list[str], **cols: str) -> str:
     return f"select id, {', '.join(f'{c} as {k}' for k, c in cols.items())} from {sql_values(texts)}"
 
 
-T = F.col("text")
 
 def _t(x: str = "text") -> str:
     return f"regexp_replace(regexp_replace({x}, {literal('^' + p.WS + '+')}, ''), {literal(p.WS + '+$')}, '')"
@@ -61,28 +60,28 @@ _unit = f"regexp_replace(regexp_replace(lower({_t()}), {literal('^' + _UNIT_EDGE
 
 def cell_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values, numbers, amounts and dates among cells."""
-    return _over(spark, CELLS, is_value=p.is_value_cell(T), is_numeric=p.is_numeric_cell(T), is_amount=p.is_monetary_amount(T), is_money=p.is_money(T), is_date=p.is_date_like(T), is_label=p.is_label(T), amount_like=p.is_amount_like(T))
+    return _over(spark, CELLS, is_value=p.is_value_cell(F.col("text")), is_numeric=p.is_numeric_cell(F.col("text")), is_amount=p.is_monetary_amount(F.col("text")), is_money=p.is_money(F.col("text")), is_date=p.is_date_like(F.col("text")), is_label=p.is_label(F.col("text")), amount_like=p.is_amount_like(F.col("text")))
 
 
 def cell_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Markers, units, measurements, data tokens, captions, data values, and escaped cells."""
-    return _over(spark, CELLS, is_marker=p.is_marker(T), is_unit=p.is_unit(T), is_measurement=p.is_measurement(T), has_data=p.has_data_token(T), has_value=p.carries_data_value(T), is_caption=p.has_caption_prefix(T), cell=p.md_cell(T))
+    return _over(spark, CELLS, is_marker=p.is_marker(F.col("text")), is_unit=p.is_unit(F.col("text")), is_measurement=p.is_measurement(F.col("text")), has_data=p.has_data_token(F.col("text")), has_value=p.carries_data_value(F.col("text")), is_caption=p.has_caption_prefix(F.col("text")), cell=p.md_cell(F.col("text")))
 
 
 def token_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each kind of token occurs in a document."""
     rows = tokens(documents(spark, sf_dir)).withColumn("text", F.col("token"))
-    flags = {"n_numeric": p.is_numeric_cell(T), "n_amount": p.is_monetary_amount(T), "n_value": p.is_value_cell(T), "n_marker": p.is_marker(T), "n_unit": p.is_unit(T), "n_data": p.carries_data_value(T)}
+    flags = {"n_numeric": p.is_numeric_cell(F.col("text")), "n_amount": p.is_monetary_amount(F.col("text")), "n_value": p.is_value_cell(F.col("text")), "n_marker": p.is_marker(F.col("text")), "n_unit": p.is_unit(F.col("text")), "n_data": p.carries_data_value(F.col("text"))}
     return rows.groupBy("doc_id").agg(F.count("*").alias("n"), *[F.count_if(c).alias(k) for k, c in flags.items()])
 
 
 def ledger_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _over(spark, LABELS, key=p.ledger_key(T), family=p.ledger_family(T))
+    return _over(spark, LABELS, key=p.ledger_key(F.col("text")), family=p.ledger_family(F.col("text")))
 
 
 def line_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Furniture keys and page counters of lines."""
-    return _over(spark, LINES, key=p.furniture_key(T), n=p.counter(T)["n"], m=p.counter(T)["m"])
+    return _over(spark, LINES, key=p.furniture_key(F.col("text")), n=p.counter(F.col("text"))["n"], m=p.counter(F.col("text"))["m"])
 
 
 def corpus_line_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,11 +93,11 @@ def corpus_line_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pipe_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _over(spark, ROWS, is_row=p.is_table_row(T), is_separator=p.is_separator_row(T), n_cells=F.size(p.split_row(T)).cast("long"), cells=F.array_join(p.split_row(T), "¦"), header=F.array_join(p.header_cells(T), "¦"))
+    return _over(spark, ROWS, is_row=p.is_table_row(F.col("text")), is_separator=p.is_separator_row(F.col("text")), n_cells=F.size(p.split_row(F.col("text"))).cast("long"), cells=F.array_join(p.split_row(F.col("text")), "¦"), header=F.array_join(p.header_cells(F.col("text")), "¦"))
 
 
 def url_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _over(spark, URLS, linked=p.linkify(T))
+    return _over(spark, URLS, linked=p.linkify(F.col("text")))
 
 
 def corpus_links(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,11 +107,11 @@ def corpus_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def normalized_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _over(spark, RAW, normal=p.normalize_text(T))
+    return _over(spark, RAW, normal=p.normalize_text(F.col("text")))
 
 
 def collapsed_spaces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _over(spark, SPACED, collapsed=p.collapse_spaces(T))
+    return _over(spark, SPACED, collapsed=p.collapse_spaces(F.col("text")))
 
 
 def hyphen_joins(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,11 +120,11 @@ def hyphen_joins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dingbat_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _over(spark, NAMES, dingbat=p.is_dingbat_face(T))
+    return _over(spark, NAMES, dingbat=p.is_dingbat_face(F.col("text")))
 
 
 def title_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _over(spark, TITLES, title=p.first_line_is_title(T))
+    return _over(spark, TITLES, title=p.first_line_is_title(F.col("text")))
 
 
 def headings(spark: SparkSession, sf_dir: str) -> DataFrame:
