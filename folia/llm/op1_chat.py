@@ -25,7 +25,6 @@ from folia.llm.common import materialize, table
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 KEY = ["h0", "h1", "h2", "h3"]
-_ORDER = [F.asc_nulls_first("turn"), "role", "digest"]
 
 
 def _turns(chats: DataFrame) -> DataFrame:
@@ -44,7 +43,7 @@ def _quarters(pos: Column, role: Column, digest: Column) -> list[Column]:
 
 def prefixes(chats: DataFrame) -> DataFrame:
     """conv_id, pos, n_turns and the hash h0..h3 of the first pos turns, for every turn."""
-    w = W.partitionBy("conv_id").orderBy(*_ORDER)
+    w = W.partitionBy("conv_id").orderBy(F.asc_nulls_first("turn"), "role", "digest")
     rows = _turns(chats).drop("text").withColumn("pos", F.row_number().over(w))
     rows = rows.select("conv_id", "turn", "role", "digest", "pos", *[q.alias(k) for q, k in zip(_quarters(F.col("pos"), F.col("role"), F.col("digest")), KEY)])
     run = w.rowsBetween(W.unboundedPreceding, 0)
