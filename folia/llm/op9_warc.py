@@ -43,19 +43,22 @@ def _uuid(*parts) -> F.Column:
     return F.concat(F.lit("<urn:uuid:"), F.regexp_replace(h, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"), F.lit(">"))
 
 
-def captures(pages: DataFrame) -> DataFrame:
-    """Rows of pages with cap (an id of the row), payload length, SHA-1 and refers_to (page_id of the response, for revisits)."""
+def captures(pages: DataFrame, archives: int) -> DataFrame:
+    """Rows of pages with cap (an id of the row), payload length, SHA-1, revisit, first_cap and refers_to, dealt to archives.
+
+    Which row holds a payload is found on digests alone; the payloads are then
+    shuffled once, to the archive that they are written to.
+    """
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), html.alias("html"))
     rows = rows.withColumn("sha1", F.sha1("html")).withColumn("bytes", F.octet_length("html").cast("long"))
     rows = rows.withColumn("cap", _uuid(F.lit("capture"), F.coalesce(F.col("page_id").cast("string"), F.lit("null")), "url", "sha1"))
-    most = rows.filter(F.col("bytes") >= REVISIT_MIN).groupBy("sha1", "bytes").agg(
-        F.max(F.struct(F.col("page_id").isNotNull().alias("has"), "page_id", "cap")).alias("first")
-    )
-    first = most.select(F.col("sha1").alias("__s"), F.col("bytes").alias("__b"), F.col("first.page_id").alias("first_page"), F.col("first.cap").alias("first_cap"))
-    out = rows.join(first, (F.col("sha1") == F.col("__s")) & (F.col("bytes") == F.col("__b")), "left").drop("__s", "__b")
-    revisit = F.col("first_cap").isNotNull() & (F.col("first_cap") != F.col("cap"))
-    return out.withColumn("revisit", revisit).withColumn("refers_to", F.when(revisit, F.col("first_page")))
+    large = rows.filter(F.col("bytes") >= REVISIT_MIN).select("page_id", "sha1", "bytes", "cap")
+    most = large.groupBy("sha1", "bytes").agg(F.max(F.struct(F.col("page_id").isNotNull().alias("has"), "page_id", "cap")).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    again = large.join(most, ["sha1", "bytes"]).filter(F.col("cap") != F.col("first.cap"))
+    again = again.select("cap", F.col("first.page_id").alias("refers_to"), F.col("first.cap").alias("first_cap")).distinct()
+    out = rows.repartition(archives, "cap").join(again.repartition(archives, "cap"), "cap", "left")
+    return out.withColumn("revisit", F.col("first_cap").isNotNull())
 
 
 def _record(type_: F.Column, rec: F.Column, concurrent: F.Column | None, headers: list, body: F.Column) -> F.Column:
@@ -70,12 +73,12 @@ def _record(type_: F.Column, rec: F.Column, concurrent: F.Column | None, headers
 def write_archives(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES) -> None:
     """Archives of all pages below path."""
     total = pages.agg(F.coalesce(F.sum(F.octet_length("html")), F.lit(0)).alias("n")).first()["n"]
-    rows = captures(pages).repartition(max(1, -(-int(total) // archive_bytes)), "cap")
+    rows = captures(pages, max(1, -(-int(total) // archive_bytes)))
     page, uri = F.col("page_id").cast("string"), F.when(F.col("url") != "", F.regexp_replace("url", "[\r\n]+", "%0A"))
     req, meta = _uuid(F.lit("request"), "cap"), _uuid(F.lit("metadata"), "cap")
     common = [("WARC-Target-URI", uri), ("X-Page-ID", page)]
     digest = ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("sha1")))
-    refer = [("WARC-Refers-To", F.when(F.col("revisit"), F.col("first_cap"))), ("WARC-Profile", F.when(F.col("revisit"), F.lit(PROFILE)))]
+    refer = [("WARC-Refers-To", F.col("first_cap")), ("WARC-Profile", F.when(F.col("revisit"), F.lit(PROFILE)))]
     body = F.when(F.col("revisit"), F.lit("")).otherwise(F.col("html"))
     response = _record(F.when(F.col("revisit"), "revisit").otherwise("response"), F.col("cap"), None, [*common, digest, *refer, ("Content-Type", F.lit("text/html; charset=utf-8"))], body)
     request = _record(F.lit("request"), req, F.col("cap"), [*common, ("Content-Type", F.lit("application/http; msgtype=request"))], F.concat(F.lit("GET "), F.coalesce(uri, F.lit("/")), F.lit(" HTTP/1.1\r\n\r\n")))
