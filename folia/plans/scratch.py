@@ -37,11 +37,19 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to shared storage and read it back: its lineage ends there."""
+#: Rows of a file, where the number of rows is known.
+FILE_ROWS = 250_000
+
+
+def materialize(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Write a table to shared storage and read it back: its lineage ends there.
+
+    With a bound on its rows, few files are written however many partitions it has.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    out = df if rows is None else df.coalesce(max(1, -(-rows // FILE_ROWS)))
+    out.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._folia_path = path
     return out
