@@ -45,11 +45,16 @@ def held_out(doc_id) -> F.Column:
 
 
 def features(text: str | None) -> set[str]:
-    """Distinct words of a text, their beginnings (``x-``) and endings (``-x``)."""
+    """Distinct words of a text, their beginnings (``x-``) and endings (``-x``), and beginnings of two (``x-2``) or four (``x-4``) words."""
     out = set(_WORD.findall((text or "").lower()))
     more: set[str] = set()
     for n in BEGINNINGS:
-        more.update([w[:n] + "-" for w in out if len(w) > n])
+        for x, times in Counter([w[:n] for w in out if len(w) > n]).items():
+            more.add(x + "-")
+            if times > 1:
+                more.add(x + "-2")
+                if times > 3:
+                    more.add(x + "-4")
     for n in ENDINGS:
         more.update(["-" + w[-n:] for w in out if len(w) > n])
     return out | more
@@ -75,21 +80,20 @@ def _vectors(vocabulary: dict[str, int]):
 
 
 def fit(x: np.ndarray, positive: np.ndarray, prior: float, epochs: int = EPOCHS, rate: float = RATE, decay: float = DECAY) -> tuple[np.ndarray, float]:
-    """Weights and bias of the non-negative risk estimator with logistic loss, by Adam on whole batches."""
+    """Weights and bias of the non-negative risk estimator with sigmoid loss, by Adam on whole batches."""
     xp, xu = x[positive], x[~positive]
     w, b = np.zeros(x.shape[1]), float(np.log(max(prior, 1e-6) / max(1 - prior, 1e-6)))
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
     for t in range(1, epochs + 1):
-        fp, fu = xp @ w + b, xu @ w + b
-        sp, su = sig(fp), sig(fu)
-        negative = np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
+        sp, su = sig(xp @ w + b), sig(xu @ w + b)
+        negative = su.mean() - prior * sp.mean()
         # gradients of the mean losses by the outputs
-        gp, gu = prior * (sp - 1) / len(fp), su / len(fu)
+        dp, du = prior * sp * (1 - sp) / len(sp), su * (1 - su) / len(su)
         if negative >= 0:
-            gp = gp - prior * sp / len(fp)
+            gp, gu = -2 * dp, du
         else:  # the estimate overfits below zero: climb back
-            gp, gu = prior * sp / len(fp), -gu
+            gp, gu = dp, -du
         g = np.concatenate((gp @ xp + gu @ xu + decay * w, [gp.sum() + gu.sum()]))
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
