@@ -24,11 +24,11 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each SimHash group stays; of rows that repeat its id, one."""
+    """The first document of each SimHash group stays; of equal rows one, and rows without an id unless they are equal."""
     groups = simhash_groups(docs)
     keep = groups.filter("doc_id = component_id or component_id is null").select("doc_id").distinct()
     kept = docs.join(keep.withColumnRenamed("doc_id", "__keep"), F.col("doc_id").eqNullSafe(F.col("__keep")), "left_semi")
-    return kept.dropDuplicates(["doc_id"]).select(*docs.columns)
+    return kept.dropDuplicates(["doc_id", "text"]).select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
