@@ -50,7 +50,7 @@ def canvas_tables(spans: DataFrame) -> DataFrame:
     """
     page = ["doc_id", "page"]
     rows = anchored(spans.select(*page, "seq", "text", "x0", "y0", "x1", "y1"), page, [F.desc("y0"), F.col("x0"), F.col("seq")], "y0", Y_TOLERANCE, "row_no")
-    cells = F.transform(F.array_sort(F.collect_list(F.struct("x0", "seq", "text"))), lambda c: c["text"])
+    cells = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("y0")).alias("down"), "x0", "seq", "text"))), lambda c: c["text"])
     box = [F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1")]
     made = rows.groupBy(*page, "row_no").agg(cells.alias("cells"), *box)
     grid = F.transform(F.array_sort(F.collect_list(F.when(F.size("cells") >= 2, F.struct("row_no", "cells")))), lambda r: r["cells"])
