@@ -37,7 +37,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         F.greatest("a", "b").cast("long").alias("u"), F.least("a", "b").cast("long").alias("v")
     )
     now = materialize(links.distinct(), "edges")
-    seen = _edge_sum(now)
+    seen = _edge_sum(now)  # rounds never add edges, so their number bounds the next table's rows
     while seen[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -49,7 +49,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         small = large.join(low, "u").select(
             F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")
         )
-        after = materialize(small.filter("u <> v").distinct(), "edges")
+        after = materialize(small.filter("u <> v").distinct(), "edges", seen[0])
         got = _edge_sum(after)
         drop_materialized(now)
         now = after

@@ -6,12 +6,15 @@ c is the minimum of every subsequence within l..r that holds c. Only windows of
 at least ``min_words`` words count, about 2/T of the tokens. Functions come in
 bands of two; an interval join of a band's windows within a document gives the
 runs of T-token subsequences that share both minima, and their pair of hashes is
-the key of a group of subsequences. Members of a group are linked to its first
-member (small groups: all pairs), links of two documents are merged to regions,
-and a region counts where a window of min_words words has a Jaccard similarity
+the key of a group of subsequences. Keys that many texts of one batch
+share are linked there and then and only the first goes on; groups are read as
+sorted streams, small ones compared in all pairs, larger ones against their
+first member, so that no group is held in memory. Links of two texts are merged
+to regions, and a region counts where a window of min_words words has a Jaccard similarity
 of at least ``similarity`` with the other side.
 
-Equal texts are reduced to one first; their copies repeat the whole text. The
+Texts go by a 64-bit hash, so equal texts are one; their copies repeat the whole
+text. The
 result has one row for each document with a repeated passage: its class (smallest
 doc_id over verified links) and its passages as word ranges. Words are
 lower-cased runs between ASCII white space without edge punctuation marks.
@@ -117,29 +120,74 @@ def groups_of(tok: np.ndarray, t: int) -> Iterator[tuple[np.ndarray, np.ndarray,
         yield key, cuts, np.minimum(a_hi[ia], b_hi[ib])
 
 
+#: Within a batch, keys with more members than this go on as one.
+LOCAL = 24
+_ROUTED = "route long, id long, span long, fid long, fspan long"
+
+
 def _keys(t: int):
+    """Rows of (key, text, span), and links of a batch's frequent keys, which have a first text and any route."""
+
     def run(batches):
         for batch in batches:
-            ids, lens, keys, los, his = [], [], [], [], []
+            ids, lens, keys, spans = [], [], [], []
             texts = batch.column(1)
+            seen = set()
             for i in range(batch.num_rows):
+                if (own := batch.column(0)[i].as_py()) in seen:
+                    continue
+                seen.add(own)
                 tok = tokens(split_words(texts[i].as_py()))
                 if len(tok) < t:
                     continue
                 for key, lo, hi in groups_of(tok, t):
-                    ids.append(batch.column(0)[i].as_py())
+                    ids.append(own)
                     lens.append(len(key))
-                    keys.append(key)
-                    los.append(lo)
-                    his.append(hi)
-            if ids:
-                cat = np.concatenate
-                cols = [cat(keys).view(np.int64), np.repeat(np.array(ids, np.int64), lens), cat(los).astype(np.int32), cat(his).astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "id", "lo", "hi"])
+                    keys.append(key.view(np.int64))
+                    spans.append((lo << 32) | hi)
+            if not ids:
+                continue
+            key, span, owner = np.concatenate(keys), np.concatenate(spans), np.repeat(np.array(ids, np.int64), lens)
+            _, first, group, n = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+            lead = first[group]
+            link = (n[group] > LOCAL) & (lead != np.arange(len(key)))
+            route = np.where(link, owner ^ span, key)
+            none = ~link
+            cols = [pa.array(route), pa.array(owner), pa.array(span), pa.array(owner[lead], mask=none), pa.array(span[lead], mask=none)]
+            yield pa.RecordBatch.from_arrays(cols, names=["route", "id", "span", "fid", "fspan"])
 
     return run
 
 
+def _link_groups(batches):
+    """Links x-y of each key's members, which come sorted: all pairs of the first few, then each against the first."""
+    key, held = None, []
+    for batch in batches:
+        route, ids, span, fid, fspan = (c.to_pylist() for c in batch.columns)
+        out: list[tuple] = []
+        for r, i, s, f, g in zip(route, ids, span, fid, fspan):
+            if f is not None:
+                if f != i:
+                    out.append((f, g, i, s))
+                continue
+            if r != key:
+                key, held = r, []
+            if held and held[-1] == (i, s):
+                continue
+            if len(held) < ALL_PAIRS:
+                out += [(x, y, i, s) for x, y in held if x != i]
+                held.append((i, s))
+            elif held[0][0] != i:
+                out.append((*held[0], i, s))
+        if out:
+            x, xs, y, ys = (np.array(c, np.int64) for c in zip(*out))
+            swap = x > y
+            a, b, sa, sb = np.where(swap, y, x), np.where(swap, x, y), np.where(swap, ys, xs), np.where(swap, xs, ys)
+            low = lambda v: pa.array((v >> 32).astype(np.int32))
+            high = lambda v: pa.array((v & 0xFFFFFFFF).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), low(sa), high(sa), low(sb), high(sb)], names=["a", "b", "a_lo", "a_hi", "b_lo", "b_hi"])
+
+
 def _regions(t: int):
     """Of the links of two texts a < b: merged token ranges on both sides."""
 
@@ -198,9 +246,9 @@ def matching(x: np.ndarray, y: np.ndarray, t: int, similarity: float) -> list[tu
 def _verify(t: int, similarity: float):
     def run(batches):
         for pair in runs(batches, ["rid"]):
-            if pair.num_rows != 2:
-                continue
             side = pair.column("side").to_pylist()
+            if 0 not in side or 1 not in side:
+                continue
             i, j = side.index(0), side.index(1)
             tok, start, ids = pair.column("tok"), pair.column("start").to_pylist(), pair.column("id").to_pylist()
             x, y = (np.asarray(tok[k].values) for k in (i, j))
@@ -216,22 +264,10 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, similarity: f
     """doc_id, class_id, n_passages, passages (array of start and stop, in words) of documents with repeated passages."""
     t = min_words - SHINGLE + 1
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null and text is not null")
-    rows = rows.withColumn("h", F.xxhash64("text")).withColumn("h2", F.md5("text"))
-    twins = materialize(rows.select("doc_id", "h", "h2").groupBy("h2", "h").agg(F.min("doc_id").alias("low"), F.countDistinct("doc_id").alias("n_docs")), "twins")
-    # the id of a text is its 64-bit hash made unique by its digest; equal hashes of unequal texts would only merge
-    single = rows.join(twins, (rows["h2"] == twins["h2"]) & (rows["doc_id"] == twins["low"])).select(twins["h"].alias("id"), "text").dropDuplicates(["id"])
-    single = materialize(single, "texts")
-    keys = materialize(single.mapInArrow(_keys(t), "key long, id long, lo int, hi int"), "keys")
-    shared = keys.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("id", "lo", "hi")).alias("first")).filter("n > 1")
-    met = keys.join(shared, "key")
-    near = met.filter(F.col("n") <= ALL_PAIRS).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("id", "lo", "hi"))).alias("m"))
-    pairs = F.flatten(F.transform("m", lambda x, i: F.transform(F.slice("m", i + 2, F.size("m")), lambda y: F.struct(x.alias("x"), y.alias("y")))))
-    near = near.select(F.explode(pairs).alias("p")).select("p.x", "p.y")
-    far = met.filter(F.col("n") > ALL_PAIRS).select(F.col("first").alias("x"), F.struct("id", "lo", "hi").alias("y"))
-    links = near.unionByName(far).filter("x.id <> y.id")
-    swap = F.col("x.id") > F.col("y.id")
-    a, b = F.when(swap, F.col("y")).otherwise(F.col("x")), F.when(swap, F.col("x")).otherwise(F.col("y"))
-    links = links.select(a.alias("p"), b.alias("q")).select(F.col("p.id").alias("a"), F.col("q.id").alias("b"), F.col("p.lo").alias("a_lo"), F.col("p.hi").alias("a_hi"), F.col("q.lo").alias("b_lo"), F.col("q.hi").alias("b_hi"))
+    rows = rows.withColumn("h", F.xxhash64("text"))
+    twins = materialize(rows.groupBy("h").agg(F.min("doc_id").alias("low"), F.countDistinct("doc_id").alias("n_docs")), "twins")
+    routed = rows.select("h", "text").mapInArrow(_keys(t), _ROUTED).repartition("route").sortWithinPartitions("route", "id", "span")
+    links = routed.mapInArrow(_link_groups, "a long, b long, a_lo int, a_hi int, b_lo int, b_hi int")
     links = links.repartition("a", "b").sortWithinPartitions("a", "b")
     regions = links.mapInArrow(_regions(t), "a long, b long, a0 int, a1 int, b0 int, b1 int")
     regions = materialize(regions.withColumn("rid", F.monotonically_increasing_id()), "regions")
@@ -240,7 +276,9 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, similarity: f
     )
     many = sides.groupBy("id").agg(F.ceil(F.count("*") / REGIONS_A_ROW).alias("k"))
     parts = sides.join(many, "id").groupBy("id", F.pmod(F.xxhash64("part.rid"), F.col("k")).alias("s")).agg(F.collect_list("part").alias("parts"))
-    slices = single.join(parts, "id").select("text", "parts").mapInArrow(_slices, "rid long, side int, start int, tok array<long>")
+    parts = parts.join(twins, parts["id"] == twins["h"]).select("id", "low", "parts")
+    # the text of one document of each hash; a repeated row gives a second slice, which the check passes over
+    slices = rows.join(parts, (rows["doc_id"] == parts["low"]) & (rows["h"] == parts["id"])).select("text", "parts").mapInArrow(_slices, "rid long, side int, start int, tok array<long>")
     # the text of a side follows from its region
     owner = regions.select("rid", F.posexplode(F.array("a", "b")).alias("side", "id"))
     both = slices.join(owner, ["rid", "side"]).select("rid", "side", "id", "start", "tok").repartition("rid").sortWithinPartitions("rid")
@@ -258,7 +296,7 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, similarity: f
     merged = merged.select(F.col("id"), F.aggregate("spans", F.array().cast("array<struct<start:bigint,stop:bigint>>"), join_span).alias("spans"))
     # copies: every row of a text shared by documents repeats the whole text
     of = rows.select("doc_id", "h", F.size(F.split(F.trim(F.translate("text", "\t\n\r\x0b\x0c" + _DROP.decode(), "     ")), " +")).alias("n_words")).distinct()
-    of = of.join(twins.groupBy("h").agg(F.max("n_docs").alias("n_docs")), "h").join(merged, F.col("h") == F.col("id"), "left").drop("id")
+    of = of.join(twins.select("h", "n_docs"), "h").join(merged, F.col("h") == F.col("id"), "left").drop("id")
     of = of.join(comp.withColumnRenamed("node", "id"), F.col("h") == F.col("id"), "left").drop("id")
     twin = (F.col("n_docs") > 1) & (F.col("n_words") >= min_words)
     of = of.filter(twin | F.col("spans").isNotNull()).withColumn("group", F.coalesce("component", "h"))
