@@ -41,15 +41,25 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 FILE_ROWS = 250_000
 
 
-def materialize(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+#: Input splits that a narrow table's task takes, where there are more than tasks to run at once.
+SPLITS = 4
+
+
+def materialize(df: DataFrame, name: str, rows: int | None = None, narrow: bool = False) -> DataFrame:
     """Write a table to shared storage and read it back: its lineage ends there.
 
-    With a bound on its rows, few files are written however many partitions it has.
+    Small files cost more than their rows: with a bound on its rows, a table has
+    few files however many partitions its plan has, and a narrow table, one made
+    of a scan without a shuffle, has a file for several input splits.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    out = df if rows is None else df.coalesce(max(1, -(-rows // FILE_ROWS)))
-    out.write.parquet(path)
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // FILE_ROWS)))
+    elif narrow:
+        n = df._jdf.queryExecution().toRdd().getNumPartitions()
+        df = df.coalesce(max(-(-n // SPLITS), min(n, 2 * spark.sparkContext.defaultParallelism), 1))
+    df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._folia_path = path
     return out
