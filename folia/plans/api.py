@@ -73,6 +73,7 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--json", action="store_true", help="the whole result as JSON")
     p.add_argument("--no-tables", action="store_true")
     p.add_argument("--page-markers", action="store_true")
+    p.add_argument("--vectors", action="store_true", help="drawn figures are media too")
     p.add_argument("--media-mode", choices=("none", "reference", "embed"), default="none")
     p.add_argument("--embed-media", dest="media_mode", action="store_const", const="embed")
     p.add_argument("--no-media", dest="media_mode", action="store_const", const="none")
@@ -96,7 +97,7 @@ def main(argv: list[str] | None = None) -> int:
         return 2
     spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "1").getOrCreate()
     files = spark.createDataFrame([("input", bytearray(data))], "doc_id string, content binary")
-    [row] = convert(files, Options(tables=not a.no_tables, page_markers=a.page_markers, media=a.media_mode)).collect()
+    [row] = convert(files, Options(tables=not a.no_tables, page_markers=a.page_markers, media=a.media_mode, vectors=a.vectors)).collect()
     if not row["ok"] or row["needs_vision_rescue"]:
         say(row["error"] or row["rescue_reason"])
         return 3
