@@ -18,6 +18,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The shared scratch folder, set to a local one only where none is configured."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="folia-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
