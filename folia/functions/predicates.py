@@ -49,6 +49,12 @@ CAPTION = rf"(?i)^(?:table|figure|fig\.?|tableau){WS}+[^\p{{L}}\p{{N}}{_SPACES}]
 PAGE_NUMBER = r"^[0-9 /.\-]+$"
 STRIPPED = r"[\x{0000}-\x{0008}\x{000B}\x{000C}\x{000E}-\x{001F}\x{007F}-\x{009F}\x{200B}\x{202A}-\x{202E}\x{2066}-\x{2069}\x{FEFF}\x{FDD0}-\x{FDEF}\x{FFFE}\x{FFFF}]"
 LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
+# fixed values: characters of the Symbol font by code, which private-use code points repeat from U+F000 on
+SYMBOL = {
+    0x20: " !∀#∃%&∋()∗+,−./0123456789:;<=>?≅ΑΒΧΔΕΦΓΗΙϑΚΛΜΝΟΠΘΡΣΤΥςΩΞΨΖ[∴]⊥_", 0x61: "αβχδεφγηιϕκλμνοπθρστυϖωξψζ{|}∼",
+    0xA1: "ϒ′≤⁄∞ƒ♣♦♥♠↔←↑→↓°±″≥×∝∂•÷≠≡≈…", 0xC0: "ℵℑℜ℘⊗⊕∅∩∪⊃⊇⊄⊂⊆∈∉∠∇®©™∏√⋅¬∧∨⇔⇐⇑⇒⇓◊〈", 0xE5: "∑", 0xF1: "〉∫", 0xFB: "✗✓",
+}
+PRIVATE = ("".join(chr(0xF000 + at + k) for at, run in SYMBOL.items() for k in range(len(run))), "".join(SYMBOL.values()))
 DINGBATS = "SYMBOL|ZAPFDINGBATS|WINGDINGS|PICTS"
 
 
@@ -169,13 +175,13 @@ def furniture_key(c: Column) -> Column:
 
 
 def normalize_text(c: Column) -> Column:
-    """Decoded text without soft hyphens, ligature code points and invisible controls."""
+    """Decoded text without soft hyphens, ligature code points, private-use and invisible characters."""
     for k, v in LIGATURES.items():
         c = F.replace(c, F.lit(k), F.lit(v))
     c = F.replace(c, F.lit("­"), F.lit(""))
     c = F.regexp_replace(c, r"(?<=[0-9])[\x{00A0}\x{202F}]|[\x{00A0}\x{202F}](?=[0-9])", " ")
     c = F.regexp_replace(c, r"[\x{2028}\x{2029}]", "\n")
-    return F.regexp_replace(F.regexp_replace(c, r"[\x{E000}-\x{F8FF}]", ""), STRIPPED, "")
+    return F.regexp_replace(F.regexp_replace(F.translate(c, *PRIVATE), r"[\x{E000}-\x{F8FF}]", ""), STRIPPED, "")
 
 
 def collapse_spaces(line: Column) -> Column:

@@ -18,7 +18,7 @@ LINES = [
 ]
 ROWS = ["| a | b |", "| --- | :--: |", "| a \\| b | c |", "plain", "| H<br>1 | <BR/>Two |", "||", "|---|", "| - | x |", " | Trim | ME | "]
 URLS = ["see http://e.org/a, and more", "1https://e.org/x", "4Since then", "12 apples", "(http://e.org/b) ok", "<http://e.org/c>", "http://e.org/d.", "end http://e.org/e?q=1&r=2;", "no link", "http://a.b http://c.d:"]
-RAW = ["eﬃcient ﬁne", "so­ft", "1 234", "a b", "x y", "a​b", "p‪q", "line sep", "tab\tstays", "bell\x07", "﻿bom", "private", "5 €", "€ 5"]
+RAW = ["eﬃcient ﬁne", "so­ft", "1 234", "a b", "x y", "a​b", "p‪q", "line sep", "tab\tstays", "bell\x07", "﻿bom", "pri\ue000vate \uf061\uf0a3\uf0b7", "5 €", "€ 5"]
 SPACED = ["a  b", "  indent  kept", "a b", "   ", "x     y  z", ""]
 WRAPS = [("infor-", "mation de"), ("peut-", "être"), ("Sous-", "Total"), ("fin.", "Suite"), ("self-", " made"), ("1-", "two"), ("a-", "2"), ("rendez-", "vous"), ("x - ", "y")]
 NAMES = ["ABCDEF+Wingdings-Regular", "Helvetica", "SymbolMT", "ZapfDingbats", "Times"]
@@ -176,6 +176,7 @@ for _k, _v in p.LIGATURES.items():
 _normal = f"replace({_normal}, chr(173), '')"
 _normal = f"regexp_replace({_normal}, '([0-9])[\\x{{00A0}}\\x{{202F}}]', '\\1 ', 'g')"
 _normal = f"regexp_replace({_normal}, '[\\x{{00A0}}\\x{{202F}}]([0-9])', ' \\1', 'g')"
+_normal = f"translate({_normal}, {literal(p.PRIVATE[0])}, {literal(p.PRIVATE[1])})"
 _normal = f"regexp_replace(regexp_replace({_normal}, '[\\x{{2028}}\\x{{2029}}]', chr(10), 'g'), '[\\x{{E000}}-\\x{{F8FF}}]', '', 'g')"
 _normal = f"regexp_replace({_normal}, {literal(p.STRIPPED)}, '', 'g')"
 _cell = f"regexp_replace(regexp_replace({_t()}, '([|\\\\])', '\\\\\\1', 'g'), '[\\r\\n]', ' ', 'g')"
