@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from folia.plans.scratch import drop_materialized, materialize, scratch_path
 
-__all__ = ["WORD", "by_cell", "cells", "connected_components", "drop_materialized", "materialize", "runs", "scratch_path", "star", "table"]
+__all__ = ["WORD", "by_cell", "cells", "connected_components", "drop_materialized", "materialize", "packed", "runs", "scratch_path", "star", "table"]
 
 #: Words of the contracts: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -113,6 +113,20 @@ def runs(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[pa.Table
         yield pa.Table.from_batches(held)
 
 
+def packed(parts: Iterator[tuple[np.ndarray, ...]], names: list[str], rows: int = 16384) -> Iterator[pa.RecordBatch]:
+    """Batches of about so many rows from many small tuples of columns."""
+    held: list[tuple[np.ndarray, ...]] = []
+    n = 0
+    for part in parts:
+        held.append(part)
+        n += len(part[0])
+        if n >= rows:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], names=names)
+            held, n = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], names=names)
+
+
 def star(n: int, i: np.ndarray, j: np.ndarray, labels: np.ndarray | None = None) -> np.ndarray:
     """Smallest index that each of n items reaches over links i-j, on top of earlier labels."""
     labels = np.arange(n) if labels is None else labels

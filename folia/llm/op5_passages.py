@@ -9,7 +9,7 @@ runs of T-token subsequences that share both minima, and their pair of hashes is
 the key of a group of subsequences. Keys that many texts of one batch
 share are linked there and then and only the first goes on; groups are read as
 sorted streams, small ones compared in all pairs, larger ones against their
-first member, so that no group is held in memory. Links of two texts are merged
+first members, so that no group is held in memory. Links of two texts are merged
 to regions, and a region counts where a window of min_words words has a Jaccard similarity
 of at least ``similarity`` with the other side.
 
@@ -35,12 +35,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folia.llm.common import connected_components, materialize, runs, table
+from folia.llm.common import connected_components, materialize, packed, runs, table
 
 MIN_WORDS, SHINGLE, SIMILARITY = 50, 5, 0.8
 BANDS = 2
 #: Groups of up to this size are compared in all pairs.
 ALL_PAIRS = 6
+#: Members of a larger group that each further one is compared with.
+LEADERS = 3
 #: Regions of one document that a row brings to its text.
 REGIONS_A_ROW = 256
 SEEDS = np.random.default_rng(20_230_801).integers(1, 2**63, 2 * BANDS, dtype=np.uint64)
@@ -125,6 +127,14 @@ LOCAL = 24
 _ROUTED = "route long, id long, span long, fid long, fspan long"
 
 
+def _counts(batches):
+    """doc_id, hash and number of words of each text."""
+    for batch in batches:
+        texts = batch.column(2)
+        n = [len(split_words(texts[i].as_py())) for i in range(batch.num_rows)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64())], names=["doc_id", "h", "n_words"])
+
+
 def _keys(t: int):
     """Rows of (key, text, span), and links of a batch's frequent keys, which have a first text and any route."""
 
@@ -160,7 +170,7 @@ def _keys(t: int):
 
 
 def _link_groups(batches):
-    """Links x-y of each key's members, which come sorted: all pairs of the first few, then each against the first."""
+    """Links x-y of each key's members, which come sorted: all pairs of the first few, then each against the leaders."""
     key, held = None, []
     for batch in batches:
         route, ids, span, fid, fspan = (c.to_pylist() for c in batch.columns)
@@ -177,8 +187,8 @@ def _link_groups(batches):
             if len(held) < ALL_PAIRS:
                 out += [(x, y, i, s) for x, y in held if x != i]
                 held.append((i, s))
-            elif held[0][0] != i:
-                out.append((*held[0], i, s))
+            else:
+                out += [(x, y, i, s) for x, y in held[:LEADERS] if x != i]
         if out:
             x, xs, y, ys = (np.array(c, np.int64) for c in zip(*out))
             swap = x > y
@@ -191,7 +201,7 @@ def _link_groups(batches):
 def _regions(t: int):
     """Of the links of two texts a < b: merged token ranges on both sides."""
 
-    def run(batches):
+    def merged(batches):
         for links in runs(batches, ["a", "b"]):
             a_lo, a_hi, b_lo, b_hi = (links.column(c).to_numpy() for c in ("a_lo", "a_hi", "b_lo", "b_hi"))
             order = np.argsort(a_lo, kind="stable")
@@ -200,11 +210,11 @@ def _regions(t: int):
             first = np.flatnonzero(np.concatenate(([True], a_lo[1:] > ends[:-1])))
             last = np.concatenate((first[1:], [len(a_lo)])) - 1
             n = len(first)
-            same = lambda c: pa.array(np.repeat(links.column(c)[0].as_py(), n), pa.int64())
+            same = lambda c: np.full(n, links.column(c)[0].as_py(), np.int64)
             cols = [a_lo[first], ends[last], np.minimum.reduceat(b_lo, first), np.maximum.reduceat(b_hi, first)]
-            yield pa.RecordBatch.from_arrays([same("a"), same("b"), *[pa.array(c.astype(np.int32)) for c in cols]], names=["a", "b", "a0", "a1", "b0", "b1"])
+            yield same("a"), same("b"), *[c.astype(np.int32) for c in cols]
 
-    return run
+    return lambda batches: packed(merged(batches), ["a", "b", "a0", "a1", "b0", "b1"])
 
 
 def _slices(batches):
@@ -244,7 +254,7 @@ def matching(x: np.ndarray, y: np.ndarray, t: int, similarity: float) -> list[tu
 
 
 def _verify(t: int, similarity: float):
-    def run(batches):
+    def verified(batches):
         for pair in runs(batches, ["rid"]):
             side = pair.column("side").to_pylist()
             if 0 not in side or 1 not in side:
@@ -255,9 +265,9 @@ def _verify(t: int, similarity: float):
             mine, theirs = matching(x, y, t, similarity), matching(y, x, t, similarity)
             if mine and theirs:
                 rows = [(ids[k], ids[i], ids[j], start[k] + p, start[k] + q) for k, found in ((i, mine), (j, theirs)) for p, q in found]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["id", "a", "b", "start", "stop"])
+                yield tuple(np.array(c, np.int64) for c in zip(*rows))
 
-    return run
+    return lambda batches: packed(verified(batches), ["id", "a", "b", "start", "stop"])
 
 
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY) -> DataFrame:
@@ -265,7 +275,9 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, similarity: f
     t = min_words - SHINGLE + 1
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null and text is not null")
     rows = rows.withColumn("h", F.xxhash64("text"))
-    twins = materialize(rows.groupBy("h").agg(F.min("doc_id").alias("low"), F.countDistinct("doc_id").alias("n_docs")), "twins")
+    base = materialize(rows.select("doc_id", "h", "text").mapInArrow(_counts, "doc_id long, h long, n_words long"), "texts", narrow=True)
+    n = base.count()
+    twins = base.groupBy("h").agg(F.min("doc_id").alias("low"), F.countDistinct("doc_id").alias("n_docs"))
     routed = rows.select("h", "text").mapInArrow(_keys(t), _ROUTED).repartition("route").sortWithinPartitions("route", "id", "span")
     links = routed.mapInArrow(_link_groups, "a long, b long, a_lo int, a_hi int, b_lo int, b_hi int")
     links = links.repartition("a", "b").sortWithinPartitions("a", "b")
@@ -283,7 +295,7 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, similarity: f
     owner = regions.select("rid", F.posexplode(F.array("a", "b")).alias("side", "id"))
     both = slices.join(owner, ["rid", "side"]).select("rid", "side", "id", "start", "tok").repartition("rid").sortWithinPartitions("rid")
     found = materialize(both.mapInArrow(_verify(t, similarity), "id long, a long, b long, start long, stop long"), "found")
-    comp = materialize(connected_components(found.select("a", "b").distinct()), "classes")
+    comp = materialize(connected_components(found.select("a", "b").distinct()), "classes", n)
     # spans of a text, overlapping ones together
     span = F.struct("start", F.col("stop").alias("stop"))
     merged = found.groupBy("id").agg(F.sort_array(F.collect_set(span)).alias("spans"))
@@ -295,14 +307,14 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, similarity: f
 
     merged = merged.select(F.col("id"), F.aggregate("spans", F.array().cast("array<struct<start:bigint,stop:bigint>>"), join_span).alias("spans"))
     # copies: every row of a text shared by documents repeats the whole text
-    of = rows.select("doc_id", "h", F.size(F.split(F.trim(F.translate("text", "\t\n\r\x0b\x0c" + _DROP.decode(), "     ")), " +")).alias("n_words")).distinct()
+    of = base.distinct()
     of = of.join(twins.select("h", "n_docs"), "h").join(merged, F.col("h") == F.col("id"), "left").drop("id")
     of = of.join(comp.withColumnRenamed("node", "id"), F.col("h") == F.col("id"), "left").drop("id")
     twin = (F.col("n_docs") > 1) & (F.col("n_words") >= min_words)
     of = of.filter(twin | F.col("spans").isNotNull()).withColumn("group", F.coalesce("component", "h"))
     whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_words").cast("long").alias("stop")))
     words_of = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), (s["stop"] + SHINGLE - 1).alias("stop")))
-    of = materialize(of.select("doc_id", "group", F.when(twin, whole).otherwise(words_of).alias("passages")), "members")
+    of = materialize(of.select("doc_id", "group", F.when(twin, whole).otherwise(words_of).alias("passages")), "members", n)
     # a document may hold several texts; its class is the smallest id over them
     least = of.groupBy("group").agg(F.min("doc_id").alias("class_id"))
     out = of.join(least, "group").groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.flatten(F.collect_list("passages")).alias("passages"))
