@@ -48,16 +48,33 @@ def running_keys(pages: DataFrame) -> DataFrame:
     return keys.groupBy("doc_id", "key").agg(F.min("page").alias("first_page"), F.count("*").alias("n_pages")).filter(F.col("n_pages") >= MIN_PAGES)
 
 
+def banded(pages: DataFrame) -> DataFrame:
+    """Pages with ls, their lines; n, how many aren't blank; band: at and line of those in the bands. All within a page's row."""
+    solid = F.filter(F.transform("ls", lambda x, i: F.struct(i.alias("at"), x.alias("line"))), lambda x: p.trim(x["line"]) != "")
+    rows = pages.withColumn("ls", F.split("chunk", "\n", -1)).withColumn("solid", solid).withColumn("n", F.size("solid"))
+    return rows.withColumn("band", F.filter("solid", lambda x, i: (i < BAND) | (i + BAND >= F.col("n")))).drop("solid")
+
+
+def without_lines(gone: F.Column) -> F.Column:
+    """The page's lines but for those at some places."""
+    return F.array_join(F.filter("ls", lambda x, i: ~F.array_contains(gone, i)), "\n")
+
+
 def strip_running(pages: DataFrame) -> DataFrame:
-    """Pages without the repeats of running lines; the first page keeps them. One pass: windows count a key's pages."""
-    rows = page_lines(pages)
-    ok = (F.col("n") > 2 * BAND) & F.col("rank").isNotNull() & in_band() & is_candidate(F.col("line"))
-    rows = rows.withColumn("key", F.when(ok, p.furniture_key(F.col("line")))).withColumn("key", F.when(F.col("key") != "", F.col("key")))
-    once = (F.row_number().over(W.partitionBy(*PAGE, "key").orderBy("line_no")) == 1) & F.col("key").isNotNull()
-    w = W.partitionBy("doc_id", "key")
-    rows = rows.withColumn("once", once).withColumn("n_pages", F.sum(F.col("once").cast("int")).over(w)).withColumn("first_page", F.min("page").over(w))
-    gone = F.col("key").isNotNull() & (F.col("n_pages") >= MIN_PAGES) & (F.col("page") > F.col("first_page"))
-    return join_lines(rows.filter(~gone))
+    """Pages without the repeats of running lines; the first page keeps them.
+
+    Only the keys of band lines are shuffled and counted; a document's repeated
+    keys then meet its pages. ``pages`` is read twice, so it should be stored.
+    """
+    key = lambda x: F.struct(x["at"], F.when(is_candidate(x["line"]), p.furniture_key(x["line"])).alias("key"))
+    rows = banded(pages).withColumn("keyed", F.filter(F.transform("band", key), lambda k: k["key"] != ""))
+    rows = rows.withColumn("keyed", F.when(F.col("n") > 2 * BAND, F.col("keyed")).otherwise(F.slice("keyed", 1, 0)))
+    keys = rows.select(*PAGE, F.explode(F.array_distinct(F.transform("keyed", lambda k: k["key"]))).alias("key"))
+    often = keys.groupBy("doc_id", "key").agg(F.min("page").alias("first_page"), F.count("*").alias("n_pages")).filter(F.col("n_pages") >= MIN_PAGES)
+    often = often.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("key", "first_page"))).alias("repeated"))
+    rows = rows.join(often, "doc_id", "left")
+    gone = F.transform(F.filter("keyed", lambda k: F.col("page") > F.col("repeated")[k["key"]]), lambda k: k["at"])
+    return rows.select(*PAGE, F.when(F.col("repeated").isNotNull(), without_lines(gone)).otherwise(F.col("chunk")).alias("chunk"))
 
 
 def counter_documents(pages: DataFrame) -> DataFrame:
@@ -68,15 +85,16 @@ def counter_documents(pages: DataFrame) -> DataFrame:
 
 
 def strip_counters(pages: DataFrame) -> DataFrame:
-    """Pages without counters, in documents where they are corroborated."""
-    rows = page_lines(pages)
-    c = p.counter(F.col("line"))
-    rows = rows.withColumn("c", F.when(F.col("rank").isNotNull() & in_band() & c["n"].isNotNull(), c))
-    w = W.partitionBy("doc_id")
-    differ = lambda x: F.min(x).over(w) < F.max(x).over(w)
-    page, n, m = F.when(F.col("c").isNotNull(), F.col("page")), F.col("c.n"), F.col("c.m")
-    sure = differ(page) & differ(n) & ~F.coalesce(differ(m), F.lit(False))
-    return join_lines(rows.withColumn("sure", sure).filter(~F.coalesce(F.col("sure") & F.col("c").isNotNull(), F.lit(False))))
+    """Pages without counters, in documents where they are corroborated. ``pages`` is read twice, so it should be stored."""
+    count = lambda x: F.struct(x["at"], p.counter(x["line"]).alias("c"))
+    rows = banded(pages).withColumn("counters", F.filter(F.transform("band", count), lambda x: x["c"]["n"].isNotNull()))
+    found = rows.select(*PAGE, F.explode("counters").alias("x")).groupBy("doc_id").agg(
+        F.min("page").alias("p0"), F.max("page").alias("p1"), F.min("x.c.n").alias("n0"), F.max("x.c.n").alias("n1"), F.min("x.c.m").alias("m0"), F.max("x.c.m").alias("m1")
+    )
+    sure = found.filter("p0 < p1 and n0 < n1 and coalesce(m0 = m1, true)").select("doc_id", F.lit(True).alias("sure"))
+    rows = rows.join(sure, "doc_id", "left")
+    gone = F.transform("counters", lambda x: x["at"])
+    return rows.select(*PAGE, F.when(F.col("sure") & (F.size("counters") > 0), without_lines(gone)).otherwise(F.col("chunk")).alias("chunk"))
 
 
 def blocks_of(pages: DataFrame) -> DataFrame:
