@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folia.llm.common import by_cell, cells, connected_components, materialize, runs, star, table
+from folia.llm.common import by_cell, cells, connected_components, materialize, packed, runs, star, table
 
 SHINGLE = 4
 MAX_DIFF = 4
@@ -137,15 +137,15 @@ def plan_blocks(n: int, max_diff: int) -> tuple[int, int]:
 
 
 def _links(max_diff: int):
-    def run(batches):
+    def links(batches):
         for cell in runs(batches, ["pattern", "value", "ci", "cj"]):
             ids = cell.column("fp").to_numpy()
             labels = hamming_star(ids.view(np.uint64), max_diff)
             moved = np.flatnonzero(labels != np.arange(len(ids)))
             if len(moved):
-                yield pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(ids[labels[moved]])], names=["a", "b"])
+                yield ids[moved], ids[labels[moved]]
 
-    return run
+    return lambda batches: packed(links(batches), ["a", "b"])
 
 
 def link_fingerprints(fps: DataFrame, max_diff: int = MAX_DIFF, cell_rows: int = CELL_ROWS) -> DataFrame:
@@ -165,11 +165,12 @@ def link_fingerprints(fps: DataFrame, max_diff: int = MAX_DIFF, cell_rows: int =
 
 def simhash_groups(docs: DataFrame, max_diff: int = MAX_DIFF) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable) of every row."""
-    rows = materialize(fingerprints(docs), "fingerprints")
-    distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n_same")), "codes")
+    rows = materialize(fingerprints(docs), "fingerprints", narrow=True)
+    n = rows.count()
+    distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n_same")), "codes", n)
     comp = connected_components(link_fingerprints(distinct.select("fp"), max_diff))
     of = distinct.join(comp.withColumnRenamed("node", "fp"), "fp", "left")
-    of = materialize(of.select("fp", "low", F.coalesce("component", "fp").alias("root")), "roots")
+    of = materialize(of.select("fp", "low", F.coalesce("component", "fp").alias("root")), "roots", n)
     least = of.groupBy("root").agg(F.min("low").alias("component_id"))
     named = of.join(least, "root").select("fp", "component_id")
     return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
