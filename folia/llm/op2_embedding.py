@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folia.llm.common import by_cell, cells, connected_components, materialize, runs, star, table
+from folia.llm.common import by_cell, cells, connected_components, materialize, packed, runs, star, table
 
 MIN_COSINE = 0.9
 WIDTH = 2.0
@@ -82,7 +82,7 @@ def _hasher(k: int, n_tables: int):
 def _linker(min_cosine: float):
     """For each cell: vid, its links met here first, and the group's first vid."""
 
-    def run(batches):
+    def links(batches):
         for cell in runs(batches, ["tab", "bucket", "ci", "cj"]):
             n = cell.num_rows
             vid = cell.column("vid").to_numpy()
@@ -119,9 +119,9 @@ def _linker(min_cosine: float):
                     labels = star(n, i, j, labels)
             at = np.flatnonzero(count)
             if len(at):
-                yield pa.RecordBatch.from_arrays([pa.array(vid[at]), pa.array(count[at]), pa.array(vid[labels[at]])], names=["vid", "links", "root"])
+                yield vid[at], count[at], vid[labels[at]]
 
-    return run
+    return lambda batches: packed(links(batches), ["vid", "links", "root"])
 
 
 def embedding_groups(vectors: DataFrame, min_cosine: float = MIN_COSINE, cell_rows: int = CELL_ROWS) -> DataFrame:
@@ -135,8 +135,9 @@ def embedding_groups(vectors: DataFrame, min_cosine: float = MIN_COSINE, cell_ro
     once = good.groupBy("vec").agg(F.count("*").alias("n_same"), F.min("vec_id").alias("low"))
     # an id of the vector's own, as vec_id may be null or repeat
     once = once.select(F.monotonically_increasing_id().alias("vid"), "vec", "n_same", "low")
-    once = materialize(once, "vectors")
-    k, n_tables = plan_tables(once.count())
+    once = materialize(once, "vectors", vectors.count())
+    n = once.count()
+    k, n_tables = plan_tables(n)
     keyed = materialize(once.mapInArrow(_hasher(k, n_tables), "vid long, vec array<double>, n_same long, low long, keys array<long>"), "keyed")
     slots = keyed.select("vid", F.posexplode("keys").alias("tab", "bucket"))
     met = cells(slots, ["tab", "bucket"], "vid", cell_rows)
@@ -147,7 +148,7 @@ def embedding_groups(vectors: DataFrame, min_cosine: float = MIN_COSINE, cell_ro
     links = found.groupBy("vid").agg(F.sum("links").alias("links"))
     comp = connected_components(found.select(F.col("vid").alias("a"), F.col("root").alias("b")))
     named = keyed.select("vid", "n_same", "low").join(comp.withColumnRenamed("node", "vid"), "vid", "left").join(links, "vid", "left")
-    named = materialize(named.select("vid", "low", F.coalesce("component", "vid").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("n_same") - 1).alias("n_links")), "named")
+    named = materialize(named.select("vid", "low", F.coalesce("component", "vid").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("n_same") - 1).alias("n_links")), "named", n)
     least = named.groupBy("root").agg(F.min("low").alias("component_id"))
     by_vector = once.select("vid", "vec").join(named, "vid").join(least, "root").select("vec", "n_links", "component_id")
     out = rows.join(by_vector, "vec", "left")
