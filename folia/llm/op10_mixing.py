@@ -136,7 +136,7 @@ def plan_mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int =
     """Each row of docs with source_size, target and pieces: array of (shard, rank, pass, block, start, stop), words of the text."""
     key = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     sized = docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), key.alias("k"))
-    sized = materialize(sized.withColumn("b", F.substring("k", 1, 3)), "sizes")
+    sized = materialize(sized.withColumn("b", F.substring("k", 1, 3)), "sizes", narrow=True)
     sources, shards = _source_plan(sized, weights, share, most, seed)
     ahead = W.partitionBy("source").orderBy("b").rowsBetween(W.unboundedPreceding, -1)
     sums = sized.groupBy("source", "b").agg(F.sum("size").alias("n")).withColumn("off", F.coalesce(F.sum("n").over(ahead), F.lit(0)))
@@ -154,20 +154,21 @@ def plan_mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int =
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST, seed: int = SEED) -> DataFrame:
     """The mixed pieces with the columns of docs (text cut to the piece) and mix_shard, mix_rank, mix_pass, mix_block, mix_start, mix_stop; sorted within shards."""
-    # rows meet their plan by content, as doc_id may repeat or be null
-    tag = [F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce(F.col("source").cast("string"), F.lit("\x00"))]
-    at = W.partitionBy("__id").orderBy("__n")
-    rows = docs.withColumn("__id", F.md5(F.concat_ws("|", *tag))).withColumn("__n", word_count(F.col("text"))).withColumn("__i", F.row_number().over(at))
-    plan = plan_mix(docs, weights, share, most, seed)
-    plan = plan.withColumn("__id", F.md5(F.concat_ws("|", *tag))).withColumn("__i", F.row_number().over(W.partitionBy("__id").orderBy("size")))
+    # rows meet their plan by content, as doc_id may repeat or be null; the table's
+    # own columns travel in a struct, so that none can clash
+    tag = lambda a, b: F.md5(F.concat_ws("|", F.coalesce(a.cast("string"), F.lit("")), F.coalesce(b.cast("string"), F.lit("\x00"))))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("__doc"), docs["text"].alias("__text"), tag(docs["doc_id"], docs["source"]).alias("__id"), word_count(docs["text"]).alias("__n"))
+    rows = rows.withColumn("__i", F.row_number().over(W.partitionBy("__id").orderBy("__n")))
+    plan = plan_mix(docs, weights, share, most, seed).withColumn("__id", tag(F.col("doc_id"), F.col("source")))
+    plan = plan.withColumn("__i", F.row_number().over(W.partitionBy("__id").orderBy("size")))
     pieces = plan.filter(F.size("pieces") > 0).select("__id", "__i", F.explode("pieces").alias("__p"))
     out = rows.join(pieces, ["__id", "__i"])
     p = F.col("__p")
-    words = F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(0)), p["start"] + 1, p["stop"] - p["start"])
-    text = F.when((p["start"] == 0) & (p["stop"] == F.col("__n")), F.col("text")).otherwise(F.array_join(words, " "))
-    own = [c for c in docs.columns]
-    made = out.select(*[text.alias("text") if c == "text" else F.col(c) for c in own], *[p[c].alias(f"mix_{c}") for c in ("shard", "rank", "pass", "block", "start", "stop")])
-    return made.repartitionByRange("mix_shard", "mix_rank").sortWithinPartitions("mix_shard", "mix_rank", "doc_id", "mix_start")
+    words = F.slice(F.regexp_extract_all("__text", F.lit(f"({WORD})"), F.lit(0)), p["start"] + 1, p["stop"] - p["start"])
+    text = F.when((p["start"] == 0) & (p["stop"] == F.col("__n")), F.col("__text")).otherwise(F.array_join(words, " "))
+    own = [(text if c == "text" else F.col("__doc").getField(c)).alias(c) for c in docs.columns]
+    made = out.select(*own, *[p[c].alias(f"mix_{c}") for c in ("shard", "rank", "pass", "block", "start", "stop")])
+    return made.repartitionByRange("mix_shard", "mix_rank").sortWithinPartitions("mix_shard", "mix_rank", "mix_start")
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

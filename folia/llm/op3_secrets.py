@@ -125,7 +125,9 @@ def secret_spans(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     """``docs`` with each found span (overlapping ones together) replaced by a mark, and n_chars where it is a column."""
-    rows = scan(docs)
+    # the table's own columns travel in a struct, so that none can clash
+    rows = scan(docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("__doc"), docs["text"]))
+    own = {c: F.col("__doc").getField(c) for c in docs.columns}
 
     def cut(acc: Column, s: Column) -> Column:
         gap = F.substring(F.col("__text"), acc["pos"] + 1, s["start"] - acc["pos"])
@@ -135,10 +137,12 @@ def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
 
     init = F.struct(F.lit(0).alias("pos"), F.array().cast("array<string>").alias("out"))
     whole = F.aggregate("__found", init, cut, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(F.col("__text"), acc["pos"] + 1, F.length("__text"))))
-    out = rows.withColumn("text", F.when(F.size("__found") > 0, whole).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("__found") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    some = F.size("__found") > 0
+    rows = rows.withColumn("__new", F.when(some, whole).otherwise(F.col("text")))
+    own["text"] = F.col("__new")
+    if "n_chars" in own:
+        own["n_chars"] = F.when(some, F.length("__new").cast(docs.schema["n_chars"].dataType)).otherwise(own["n_chars"])
+    return rows.select(*[c.alias(name) for name, c in own.items()])
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

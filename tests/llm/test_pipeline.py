@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline as cp
+from pyspark.sql import functions as F
 from folia.llm import op4_decontaminate, op7_toxicity, op8_simhash
 from folia.llm.common import materialize, table
 
@@ -40,3 +41,24 @@ def test_awkward_rows(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     kept = cp.near_dedup(spark, docs, "").collect()
     assert sorted((r["doc_id"] or 0) for r in kept) == [0, 0, 1, 3]
+
+
+def test_clashing_columns(spark, sf):
+    names = ("__text", "__doc", "__id", "__n", "__i", "__p", "__keep", "fp", "component_id", "pieces", "size", "item_id", "score")
+    docs = table(spark, sf, "documents")
+    more = docs.select("*", *[F.concat(F.lit(n), F.col("doc_id").cast("string")).alias(n) for n in names])
+    plain = docs
+    for _, stage in cp.STAGES[:-1]:
+        plain, more = materialize(stage(spark, plain, sf), "plain"), materialize(stage(spark, more, sf), "more")
+        assert sorted(map(tuple, more.select(*plain.columns).collect())) == sorted(map(tuple, plain.collect()))
+        assert more.filter(" or ".join(f"`{n}` <> concat('{n}', doc_id)" for n in names)).count() == 0
+    a, b = cp.mixing(spark, plain, sf), cp.mixing(spark, more, sf)
+    assert sorted(map(str, b.select(*a.columns).collect())) == sorted(map(str, a.collect()))
+    assert b.filter("`__n` <> concat('__n', doc_id)").count() == 0
+
+
+def test_empty_table(spark, sf):
+    docs = table(spark, sf, "documents").limit(0)
+    for _, stage in cp.STAGES:
+        docs = stage(spark, docs, sf)
+    assert docs.count() == 0
