@@ -112,11 +112,11 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], float]:
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).filter(~held_out(F.col("doc_id")))
     order = F.xxhash64("doc_id", F.lit(SEED))
     pos = known.filter("toxic = 1").select("doc_id").orderBy(order, "doc_id").limit(MAX_POSITIVE).withColumn("p", F.lit(1))
-    pos = materialize(pos, "positives")
+    pos = materialize(pos, "positives", MAX_POSITIVE)
     # unlabelled text: any training row that isn't a chosen positive
     some = ids.distinct().orderBy(order, "doc_id").limit(MAX_UNLABELLED + MAX_POSITIVE)
     some = some.join(pos, "doc_id", "left_anti").orderBy(order, "doc_id").limit(MAX_UNLABELLED).withColumn("p", F.lit(0))
-    chosen = materialize(pos.unionByName(some), "chosen")  # at most MAX_POSITIVE + MAX_UNLABELLED ids
+    chosen = materialize(pos.unionByName(some), "chosen", MAX_POSITIVE + MAX_UNLABELLED)  # at most MAX_POSITIVE + MAX_UNLABELLED ids
     sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
     sample = materialize(sample.select("p", "text").dropDuplicates(["text"]), "sample")
     counts = {r["p"]: r["n"] for r in sample.groupBy("p").agg(F.count("*").alias("n")).collect()}
