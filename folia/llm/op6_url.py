@@ -63,6 +63,7 @@ class Cascade:
         """universe and listed have a column key; listed is the smaller, and its size is checked."""
         self.levels: list[tuple[int, list[int]]] = []
         n = listed.count()
+        total = universe.count()
         inside, outside = listed, universe.join(F.broadcast(listed) if n <= max_words else listed, "key", "left_anti")
         held: list[DataFrame] = []
         while n:
@@ -77,7 +78,7 @@ class Cascade:
             for w in filled:
                 array[w["word"]] = w["bits"]
             self.levels.append((words, array))
-            wrong = materialize(outside.filter(self.passes(F.col("key"), level)).select("key"), "cascade")
+            wrong = materialize(outside.filter(self.passes(F.col("key"), level)).select("key"), "cascade", total)
             held.append(wrong)
             inside, outside = wrong, inside
             n = wrong.count()
