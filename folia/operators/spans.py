@@ -15,8 +15,15 @@ from pyspark.sql import functions as F
 PAGE_LINES, PITCH, CHAR, LEFT, TOP = 48, 14, 6, 72, 720
 
 
+def spread_out(rows: DataFrame) -> DataFrame:
+    """A small scan dealt to all cores: one file of one row group would keep one busy. Scans with a split a core stay as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    few = rows._jdf.queryExecution().toRdd().getNumPartitions() < 2 * cores
+    return rows.repartition(cores) if few else rows
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return spread_out(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
