@@ -118,7 +118,7 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], float]:
     some = some.join(pos, "doc_id", "left_anti").orderBy(order, "doc_id").limit(MAX_UNLABELLED).withColumn("p", F.lit(0))
     chosen = materialize(pos.unionByName(some), "chosen", MAX_POSITIVE + MAX_UNLABELLED)  # at most MAX_POSITIVE + MAX_UNLABELLED ids
     sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
-    sample = materialize(sample.select("p", "text").dropDuplicates(["text"]), "sample")
+    sample = materialize(sample.groupBy("text").agg(F.max("p").alias("p")).select("p", "text"), "sample")
     counts = {r["p"]: r["n"] for r in sample.groupBy("p").agg(F.count("*").alias("n")).collect()}
     n_pos, n_unl = counts.get(1, 0), counts.get(0, 0)
     if not n_pos or not n_unl:
@@ -134,7 +134,9 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], float]:
     hits = rows.column("hits").combine_chunks()
     x[np.repeat(np.arange(rows.num_rows), np.asarray(hits.value_lengths())), hits.flatten().to_numpy()] = 1
     positive = rows.column("p").to_numpy() == 1
-    order = np.lexsort((*(x.T[:8]), positive))  # the sum's order doesn't depend on the partitions
+    # sums in an order of the rows' own, whatever the partitions, so that reruns agree
+    rank = [(bool(p), r.tobytes()) for p, r in zip(positive, np.packbits(x > 0, axis=1))]
+    order = sorted(range(len(rank)), key=rank.__getitem__)
     w, b = fit(x[order], positive[order], prior)
     return {word: float(w[i]) for word, i in vocabulary.items()}, b
 
