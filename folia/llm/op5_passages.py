@@ -6,10 +6,11 @@ c is the minimum of every subsequence within l..r that holds c. Only windows of
 at least ``min_words`` words count, about 2/T of the tokens. Functions come in
 bands of two; an interval join of a band's windows within a document gives the
 runs of T-token subsequences that share both minima, and their pair of hashes is
-the key of a group of subsequences. Keys that many texts of one batch
-share are linked there and then and only the first goes on; groups are read as
-sorted streams, small ones compared in all pairs, larger ones against their
-first members, so that no group is held in memory. Links of two texts are merged
+the key of a group of subsequences. Members with the same tokens throughout (one
+context) are linked with the first of them; different contexts of a group meet in
+all pairs, those of large groups by token in cells of chunk pairs, so that no
+group is held in memory. A text's further places of a window follow from its
+first. Links of two texts are merged
 to regions, and a region counts where a window of min_words words has a Jaccard similarity
 of at least ``similarity`` with the other side.
 
@@ -35,14 +36,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folia.llm.common import connected_components, materialize, packed, runs, table
+from folia.llm.common import by_cell, cells, connected_components, materialize, packed, runs, table
 
 MIN_WORDS, SHINGLE, SIMILARITY = 50, 5, 0.8
 BANDS = 2
-#: Groups of up to this size are compared in all pairs.
-ALL_PAIRS = 6
-#: Members of a larger group that each further one is compared with.
-LEADERS = 3
+#: Groups of up to so many contexts are linked in all pairs; the pairs of larger ones are compared first.
+ALL_PAIRS = 64
+#: Contexts of a larger group that one task takes; further ones are cut into pairs of chunks.
+CELL_ROWS = 256
 #: Regions of one document that a row brings to its text.
 REGIONS_A_ROW = 256
 SEEDS = np.random.default_rng(20_230_801).integers(1, 2**63, 2 * BANDS, dtype=np.uint64)
@@ -122,9 +123,21 @@ def groups_of(tok: np.ndarray, t: int) -> Iterator[tuple[np.ndarray, np.ndarray,
         yield key, cuts, np.minimum(a_hi[ia], b_hi[ib])
 
 
-#: Within a batch, keys with more members than this go on as one.
+#: Within a batch, contexts that more texts share than this go on as two of them.
 LOCAL = 24
-_ROUTED = "route long, id long, span long, fid long, fspan long"
+_ROUTED = "route long, fp long, id long, span long, fid long, fspan long"
+_LINKS = "key long, a long, b long, a_lo int, a_hi int, b_lo int, b_hi int"
+_M = np.uint64(0x9E3779B97F4A7C15)
+_M_INVERSE = np.uint64(pow(int(_M), -1, 1 << 64))
+
+
+def range_hashes(tok: np.ndarray, lo: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Hashes of the token ranges lo..stop-1, wherever they stand."""
+    n = len(tok)
+    up = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n, _M))), dtype=np.uint64)
+    down = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n, _M_INVERSE))), dtype=np.uint64)
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(tok * down[:n], dtype=np.uint64)))
+    return _mix((total[stop] - total[lo]) * up[lo] + (stop - lo).astype(np.uint64))
 
 
 def _counts(batches):
@@ -136,11 +149,16 @@ def _counts(batches):
 
 
 def _keys(t: int):
-    """Rows of (key, text, span), and links of a batch's frequent keys, which have a first text and any route."""
+    """Rows of (key, context, text, span), and links of a batch's frequent contexts, which have a first text and any route.
+
+    A context is all tokens of a run's subsequences: texts that share it are the
+    same to all others. Of a text's equal contexts the first goes on; a link of
+    the text to itself tells that there are more.
+    """
 
     def run(batches):
         for batch in batches:
-            ids, lens, keys, spans = [], [], [], []
+            ids, lens, keys, fps, spans, marked = [], [], [], [], [], []
             texts = batch.column(1)
             seen = set()
             for i in range(batch.num_rows):
@@ -150,52 +168,163 @@ def _keys(t: int):
                 tok = tokens(split_words(texts[i].as_py()))
                 if len(tok) < t:
                     continue
-                for key, lo, hi in groups_of(tok, t):
-                    ids.append(own)
-                    lens.append(len(key))
-                    keys.append(key.view(np.int64))
-                    spans.append((lo << 32) | hi)
+                key, lo, hi = (np.concatenate(c) for c in zip(*groups_of(tok, t)))
+                fp = range_hashes(tok, lo, hi + t)
+                _, first = np.unique(_mix(key) ^ fp, return_index=True)
+                if len(first) < len(key):
+                    marked.append(own)
+                ids.append(own)
+                lens.append(len(first))
+                keys.append(key[first].view(np.int64))
+                fps.append(fp[first].view(np.int64))
+                spans.append(((lo << 32) | hi)[first])
             if not ids:
                 continue
-            key, span, owner = np.concatenate(keys), np.concatenate(spans), np.repeat(np.array(ids, np.int64), lens)
-            _, first, group, n = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
-            lead = first[group]
-            link = (n[group] > LOCAL) & (lead != np.arange(len(key)))
-            route = np.where(link, owner ^ span, key)
-            none = ~link
-            cols = [pa.array(route), pa.array(owner), pa.array(span), pa.array(owner[lead], mask=none), pa.array(span[lead], mask=none)]
-            yield pa.RecordBatch.from_arrays(cols, names=["route", "id", "span", "fid", "fspan"])
+            key, fp, span, owner = np.concatenate(keys), np.concatenate(fps), np.concatenate(spans), np.repeat(np.array(ids, np.int64), lens)
+            _, group, n = np.unique(_mix(key.view(np.uint64)) ^ fp.view(np.uint64), return_inverse=True, return_counts=True)
+            order = np.argsort(group, kind="stable")
+            starts = np.cumsum(n) - n
+            rank = np.empty(len(key), np.int64)
+            rank[order] = np.arange(len(key)) - np.repeat(starts, n)
+            lead = order[starts][group]
+            link = (n[group] > LOCAL) & (rank > 1)
+            own = np.array(marked, np.int64)
+            route = np.concatenate((np.where(link, owner ^ span, key), own))
+            none = np.concatenate((~link, np.zeros(len(own), bool)))
+            zero = np.zeros(len(own), np.int64)
+            cols = [pa.array(np.concatenate(c)) for c in ((fp, zero), (owner, own), (span, zero))]
+            cols += [pa.array(np.concatenate(c), mask=none) for c in ((owner[lead], own), (span[lead], zero))]
+            yield pa.RecordBatch.from_arrays([pa.array(route), *cols], names=["route", "fp", "id", "span", "fid", "fspan"])
 
     return run
 
 
 def _link_groups(batches):
-    """Links x-y of each key's members, which come sorted: all pairs of the first few, then each against the leaders."""
-    key, held = None, []
+    """Links x-y of each key's members, which come sorted by context.
+
+    Texts with one context are linked with the first of them. Contexts, each with
+    its first two texts, are compared in all pairs; those of a key with more than
+    ALL_PAIRS go on as rows of (key, a) without b.
+    """
+    out: list[tuple] = []
+    key = fp = last = None
+    held: list[list[tuple[int, int]]] = []
+    run: list[tuple[int, int]] = []
+
+    def close():
+        """The run of one context has ended."""
+        if not run:
+            return
+        if len(held) < ALL_PAIRS:
+            (i, s) = run[0]
+            for other in held:
+                x, y = other[0]
+                if x != i:
+                    out.append((None, x, y, i, s))
+                else:  # one text's contexts meet by the second texts
+                    out.extend((None, x, y, *m) for m in run[1:])
+                    out.extend((None, *m, i, s) for m in other[1:])
+            held.append(run)
+            return
+        if len(held) == ALL_PAIRS:
+            out.extend((key, *m, None, 0) for other in held for m in other)
+            held.append([])
+        out.extend((key, *m, None, 0) for m in run)
+
+    def batch_of():
+        k, x, xs, y, ys = zip(*out)
+        none = np.array([v is None for v in y])
+        x, xs, y, ys = (np.array(c, np.int64) for c in (x, xs, [0 if v is None else v for v in y], ys))
+        swap = (x > y) & ~none
+        a, b, sa, sb = np.where(swap, y, x), np.where(swap, x, y), np.where(swap, ys, xs), np.where(swap, xs, ys)
+        low = lambda v: pa.array((v >> 32).astype(np.int32))
+        high = lambda v: pa.array((v & 0xFFFFFFFF).astype(np.int32))
+        cols = [pa.array(k, pa.int64()), pa.array(a), pa.array(b, mask=none), low(sa), high(sa), low(sb), high(sb)]
+        return pa.RecordBatch.from_arrays(cols, names=["key", "a", "b", "a_lo", "a_hi", "b_lo", "b_hi"])
+
     for batch in batches:
-        route, ids, span, fid, fspan = (c.to_pylist() for c in batch.columns)
-        out: list[tuple] = []
-        for r, i, s, f, g in zip(route, ids, span, fid, fspan):
+        for r, q, i, s, f, g in zip(*(c.to_pylist() for c in batch.columns)):
             if f is not None:
-                if f != i:
-                    out.append((f, g, i, s))
-                continue
-            if r != key:
-                key, held = r, []
-            if held and held[-1] == (i, s):
+                out.append((None, f, g, i, s))
                 continue
-            if len(held) < ALL_PAIRS:
-                out += [(x, y, i, s) for x, y in held if x != i]
-                held.append((i, s))
-            else:
-                out += [(x, y, i, s) for x, y in held[:LEADERS] if x != i]
-        if out:
-            x, xs, y, ys = (np.array(c, np.int64) for c in zip(*out))
-            swap = x > y
-            a, b, sa, sb = np.where(swap, y, x), np.where(swap, x, y), np.where(swap, ys, xs), np.where(swap, xs, ys)
-            low = lambda v: pa.array((v >> 32).astype(np.int32))
-            high = lambda v: pa.array((v & 0xFFFFFFFF).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), low(sa), high(sa), low(sb), high(sb)], names=["a", "b", "a_lo", "a_hi", "b_lo", "b_hi"])
+            if r != key or q != fp:
+                close()
+                if r != key:
+                    key, held = r, []
+                fp, last, run = q, i, [(i, s)]
+            elif i != last:  # a text's copies come next to each other
+                last = i
+                if len(run) < 2:
+                    run.append((i, s))
+                out.append((None, *run[0], i, s))
+            if len(out) >= 1 << 15:
+                yield batch_of()
+                out.clear()
+    close()
+    if out:
+        yield batch_of()
+
+
+def _compare(t: int, similarity: float):
+    """Links within cells of a large group's contexts: enough for all matched windows and all connections.
+
+    Every pair of the cell is compared. Of the pairs that match, a context keeps
+    those that add to its matched windows and those that join two components.
+    """
+    need = np.ceil(2 * similarity / (1 + similarity) * t - 1e-9)
+
+    def linked(batches):
+        for cell in runs(batches, ["key", "ci", "cj"]):
+            ids, start, chunk = (cell.column(c).to_numpy() for c in ("id", "start", "chunk"))
+            toks = [np.asarray(v.values) for v in cell.column("tok")]
+            ends = np.cumsum([len(x) for x in toks])
+            _, at = np.unique(np.concatenate(toks), return_inverse=True)
+            at = np.split(at, ends[:-1])
+            n = len(ids)
+            holds = np.zeros((n, max(int(x.max()) for x in at) + 1), bool)
+            for k, x in enumerate(at):
+                holds[k, x] = True
+            one = cell.column("ci")[0].as_py() == cell.column("cj")[0].as_py()
+            match, windows = np.zeros((n, n), bool), []
+            for k, x in enumerate(at):
+                others = np.flatnonzero((ids != ids[k]) & (one | (chunk != chunk[k])))
+                count = np.zeros((len(others), len(x) + 1), np.int32)
+                np.cumsum(holds[np.ix_(others, x)], axis=1, out=count[:, 1:])
+                good = count[:, t:] - count[:, :-t] >= need
+                some = good.any(axis=1)
+                match[k, others[some]] = True
+                windows.append((others[some], good[some]))
+            match &= match.T
+            chosen = set()
+            root = list(range(n))
+
+            def find(v):
+                while root[v] != v:
+                    root[v] = root[root[v]]
+                    v = root[v]
+                return v
+
+            for k, (others, good) in enumerate(windows):
+                both = match[k, others]
+                others, good = others[both], good[both].copy()
+                for y in others.tolist():
+                    if (u := find(k)) != (v := find(y)):
+                        root[u] = v
+                        chosen.add((min(k, y), max(k, y)))
+                while good.any():
+                    best = int(good.sum(axis=1).argmax())
+                    y = int(others[best])
+                    chosen.add((min(k, y), max(k, y)))
+                    good &= ~good[best].copy()
+            if chosen:
+                x, y = np.array(sorted(chosen)).T
+                length = np.array([len(v) for v in toks])
+                swap = ids[x] > ids[y]
+                x, y = np.where(swap, y, x), np.where(swap, x, y)
+                side = lambda v: (start[v].astype(np.int32), (start[v] + length[v] - t).astype(np.int32))
+                yield ids[x], ids[y], *side(x), *side(y)
+
+    return lambda batches: packed(linked(batches), ["a", "b", "a_lo", "a_hi", "b_lo", "b_hi"])
 
 
 def _regions(t: int):
@@ -241,7 +370,7 @@ def _slices(batches):
 
 
 def matching(x: np.ndarray, y: np.ndarray, t: int, similarity: float) -> list[tuple[int, int]]:
-    """Ranges of x made of t-token windows that have the similarity (as sets of one size) with tokens of y."""
+    """Ranges of x all of whose t-token windows have the similarity (as sets of one size) with tokens of y."""
     if len(x) < t:
         return []
     need = np.ceil(2 * similarity / (1 + similarity) * t - 1e-9)
@@ -249,7 +378,7 @@ def matching(x: np.ndarray, y: np.ndarray, t: int, similarity: float) -> list[tu
     at = np.flatnonzero(run[t:] - run[:-t] >= need)
     if not len(at):
         return []
-    cut = np.flatnonzero(np.diff(at) > t) + 1
+    cut = np.flatnonzero(np.diff(at) > 1) + 1
     return [(int(p[0]), int(p[-1]) + t) for p in np.split(at, cut)]
 
 
@@ -270,6 +399,26 @@ def _verify(t: int, similarity: float):
     return lambda batches: packed(verified(batches), ["id", "a", "b", "start", "stop"])
 
 
+def _spread(t: int):
+    """The further places of a text's verified windows: rows of (id, start, stop)."""
+
+    def spread(batches):
+        for batch in batches:
+            for own, text, spans in zip(*(c.to_pylist() for c in batch.columns)):
+                tok = tokens(split_words(text))
+                lo = np.arange(len(tok) - t + 1)
+                h = range_hashes(tok, lo, lo + t)
+                known = np.zeros(len(lo), bool)
+                for p in spans:
+                    known[p["start"] : p["stop"] - t + 1] = True
+                at = np.flatnonzero(np.isin(h, h[known]) & ~known)
+                if len(at):
+                    parts = np.split(at, np.flatnonzero(np.diff(at) > 1) + 1)
+                    yield np.full(len(parts), own, np.int64), np.array([p[0] for p in parts], np.int64), np.array([p[-1] + t for p in parts], np.int64)
+
+    return lambda batches: packed(spread(batches), ["id", "start", "stop"])
+
+
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, class_id, n_passages, passages (array of start and stop, in words) of documents with repeated passages."""
     t = min_words - SHINGLE + 1
@@ -278,27 +427,47 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, similarity: f
     base = materialize(rows.select("doc_id", "h", "text").mapInArrow(_counts, "doc_id long, h long, n_words long"), "texts", narrow=True)
     n = base.count()
     twins = base.groupBy("h").agg(F.min("doc_id").alias("low"), F.countDistinct("doc_id").alias("n_docs"))
-    routed = rows.select("h", "text").mapInArrow(_keys(t), _ROUTED).repartition("route").sortWithinPartitions("route", "id", "span")
-    links = routed.mapInArrow(_link_groups, "a long, b long, a_lo int, a_hi int, b_lo int, b_hi int")
+    routed = rows.select("h", "text").mapInArrow(_keys(t), _ROUTED).repartition("route").sortWithinPartitions("route", "fp", "id", "span")
+    made = materialize(routed.mapInArrow(_link_groups, _LINKS), "links")
+
+    def brought(sides: DataFrame) -> DataFrame:
+        """rid, side, start, tok of parts (struct of rid, side, p0, p1) of texts (id)."""
+        many = sides.groupBy("id").agg(F.ceil(F.count("*") / REGIONS_A_ROW).alias("k"))
+        parts = sides.join(many, "id").groupBy("id", F.pmod(F.xxhash64("part.rid"), F.col("k")).alias("s")).agg(F.collect_list("part").alias("parts"))
+        parts = parts.join(twins, parts["id"] == twins["h"]).select("id", "low", "parts")
+        # the text of one document of each hash; a repeated row gives a second slice, which the check passes over
+        return rows.join(parts, (rows["doc_id"] == parts["low"]) & (rows["h"] == parts["id"])).select("text", "parts").mapInArrow(_slices, "rid long, side int, start int, tok array<long>")
+
+    links = made.filter("b is not null and a <> b").drop("key")
+    large = made.filter("b is null")
+    if not large.isEmpty():
+        large = materialize(large.select("key", F.col("a").alias("id"), "a_lo", "a_hi").withColumn("rid", F.monotonically_increasing_id()), "large")
+        whole = F.struct("rid", F.lit(0).alias("side"), F.col("a_lo").alias("p0"), (F.col("a_hi") + t).alias("p1"))
+        slices = brought(large.select("id", whole.alias("part"))).select("rid", "start", "tok").dropDuplicates(["rid"])
+        dealt = by_cell(cells(large.select("key", "id", "rid").join(slices, "rid"), ["key"], "rid", CELL_ROWS), ["key"])
+        compared = dealt.select("key", "ci", "cj", "chunk", "id", "start", "tok").mapInArrow(_compare(t, similarity), "a long, b long, a_lo int, a_hi int, b_lo int, b_hi int")
+        links = links.unionByName(compared)
     links = links.repartition("a", "b").sortWithinPartitions("a", "b")
     regions = links.mapInArrow(_regions(t), "a long, b long, a0 int, a1 int, b0 int, b1 int")
     regions = materialize(regions.withColumn("rid", F.monotonically_increasing_id()), "regions")
     sides = regions.select(F.col("a").alias("id"), F.struct("rid", F.lit(0).alias("side"), F.col("a0").alias("p0"), F.col("a1").alias("p1")).alias("part")).unionByName(
         regions.select(F.col("b").alias("id"), F.struct("rid", F.lit(1).alias("side"), F.col("b0").alias("p0"), F.col("b1").alias("p1")).alias("part"))
     )
-    many = sides.groupBy("id").agg(F.ceil(F.count("*") / REGIONS_A_ROW).alias("k"))
-    parts = sides.join(many, "id").groupBy("id", F.pmod(F.xxhash64("part.rid"), F.col("k")).alias("s")).agg(F.collect_list("part").alias("parts"))
-    parts = parts.join(twins, parts["id"] == twins["h"]).select("id", "low", "parts")
-    # the text of one document of each hash; a repeated row gives a second slice, which the check passes over
-    slices = rows.join(parts, (rows["doc_id"] == parts["low"]) & (rows["h"] == parts["id"])).select("text", "parts").mapInArrow(_slices, "rid long, side int, start int, tok array<long>")
+    slices = brought(sides)
     # the text of a side follows from its region
     owner = regions.select("rid", F.posexplode(F.array("a", "b")).alias("side", "id"))
     both = slices.join(owner, ["rid", "side"]).select("rid", "side", "id", "start", "tok").repartition("rid").sortWithinPartitions("rid")
     found = materialize(both.mapInArrow(_verify(t, similarity), "id long, a long, b long, start long, stop long"), "found")
     comp = materialize(connected_components(found.select("a", "b").distinct()), "classes", n)
+    # a text's equal contexts went on as one: its other places
+    again = made.filter("a = b").select(F.col("a").alias("id")).distinct()
+    again = found.join(again, "id", "left_semi").groupBy("id").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+    again = materialize(again.join(twins, F.col("id") == F.col("h")).select("id", "low", "spans"), "again")
+    again = rows.join(again, (rows["doc_id"] == again["low"]) & (rows["h"] == again["id"])).select("id", "text", "spans")
+    spread = again.mapInArrow(_spread(t), "id long, start long, stop long")
     # spans of a text, overlapping ones together
     span = F.struct("start", F.col("stop").alias("stop"))
-    merged = found.groupBy("id").agg(F.sort_array(F.collect_set(span)).alias("spans"))
+    merged = found.select("id", "start", "stop").unionByName(spread).groupBy("id").agg(F.sort_array(F.collect_set(span)).alias("spans"))
 
     def join_span(acc, s):
         last = F.element_at(acc, -1)

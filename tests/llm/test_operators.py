@@ -220,6 +220,27 @@ def test_passages(spark):
     assert op5_passages.repeated_passages(docs(spark, [])).count() == 0
 
 
+def test_passages_in_large_groups(spark, monkeypatch):
+    """Two texts share a passage between lines that many others have: their keys' groups are large, and few members match."""
+    rng = random.Random(15)
+    heads, tails = sentence(rng, 28, "h"), sentence(rng, 28, "t")
+    rows = [(k, f"{heads} {sentence(rng, 8, f'm{k}')} {tails}") for k in range(150)]
+    # each inner part is in two texts: 30 pairs far apart in the table
+    rows += [(1000 + k, f"{sentence(rng, 30, f'v{k}')} {t} {sentence(rng, 30, f'w{k}')}") for k, (_, t) in enumerate(rows[60:90])]
+    # a passage twice in one text and once in another one
+    twice = sentence(rng, 60, "q")
+    rows += [(2000, f"{twice} {sentence(rng, 80, 'r')} {twice}"), (2001, f"{sentence(rng, 20, 'z')} {twice}")]
+    for all_pairs, cell in ((64, 256), (2, 7)):
+        monkeypatch.setattr(op5_passages, "ALL_PAIRS", all_pairs)
+        monkeypatch.setattr(op5_passages, "CELL_ROWS", cell)
+        got = {r["doc_id"]: r for r in op5_passages.repeated_passages(docs(spark, rows)).collect()}
+        for k in range(30):
+            assert got[60 + k]["class_id"] == got[1000 + k]["class_id"] == 60 + k
+        assert set(got) == {*range(60, 90), *range(1000, 1030), 2000, 2001}
+        first, second = got[2000]["passages"]
+        assert first["start"] == 0 and abs(first["stop"] - 60) <= 6 and abs(second["start"] - 140) <= 6 and second["stop"] == 200
+
+
 def test_compact_windows():
     rng = np.random.default_rng(6)
     for n, t in ((5, 6), (30, 4), (200, 16), (100, 1)):
