@@ -39,7 +39,8 @@ from pyspark.sql import functions as F
 from folia.llm.common import by_cell, cells, connected_components, materialize, packed, runs, table
 
 MIN_WORDS, SHINGLE, SIMILARITY = 50, 5, 0.8
-BANDS = 2
+#: Windows at similarity 0.8 share a band with chance 0.64, and one of five with 0.994.
+BANDS = 5
 #: Groups of up to so many contexts are linked in all pairs; the pairs of larger ones are compared first.
 ALL_PAIRS = 64
 #: Contexts of a larger group that one task takes; further ones are cut into pairs of chunks.

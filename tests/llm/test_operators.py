@@ -241,6 +241,21 @@ def test_passages_in_large_groups(spark, monkeypatch):
         assert first["start"] == 0 and abs(first["stop"] - 60) <= 6 and abs(second["start"] - 140) <= 6 and second["stop"] == 200
 
 
+def test_passages_recall_of_near_repeats(spark):
+    """One replaced word in the middle of 50 leaves similarity 41/51: five bands of two find 0.994 of such passages."""
+    rng = random.Random(25)
+    rows = []
+    for k in range(400):
+        words = sentence(rng, 50, f"p{k}").split()
+        rows.append((k, f"{sentence(rng, 20, f'a{k}')} {' '.join(words)} {sentence(rng, 20, f'b{k}')}"))
+        words[24] = "changed"
+        rows.append((1000 + k, f"{sentence(rng, 20, f'c{k}')} {' '.join(words)} {sentence(rng, 20, f'd{k}')}"))
+    got = {r["doc_id"]: r["class_id"] for r in op5_passages.repeated_passages(docs(spark, rows)).collect()}
+    found = [k for k in range(400) if k in got and got.get(1000 + k) == k]
+    print("near repeats found:", len(found), "of 400")
+    assert len(got) == 2 * len(found) and len(found) >= 0.98 * 400
+
+
 def test_compact_windows():
     rng = np.random.default_rng(6)
     for n, t in ((5, 6), (30, 4), (200, 16), (100, 1)):
