@@ -4,17 +4,20 @@ Each page becomes a request, a response or revisit, and a metadata record; the
 request and the metadata name the response in WARC-Concurrent-To. Records are
 text rows whose line separator is the record terminator, so Spark's own text
 writer, with its commit protocol, makes gzip archives; their number follows the
-payload bytes. Archives are read whole (they are bounded) and cut by
-Content-Length, never by looking for separators. Records then meet by the id
-of the capture that they lead to, also by way of another record, and make one
-nested row.
+records' bytes. Archives are read whole (they are bounded) and cut by
+Content-Length, never by looking for separators. A record may name several
+others as concurrent. Which captures it leads to, by way of however many other
+records, is found on ids alone; the records then meet by capture and make one
+nested row. Responses and revisits are captures themselves and join nothing.
 
 Edge cases: null html is an empty payload; null urls are empty; among equal
 payloads of at least 1000 bytes the largest page_id holds the response (for a
 repeated page_id the rows are equal or ordered by url, and each row is a
 capture of its own); a null page_id loses against any other; a capture without
-some record has null there; records that lead to no capture make one of their
-own. Extra columns are ignored.
+some record has null there, further records of a kind are in ``more``; a record
+that leads to several captures is in each; records that lead to no capture make
+one under the id where their chain ends (of a ring, its smallest). Extra columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -31,11 +34,13 @@ from pyspark.sql import functions as F
 from folia.llm.common import materialize, scratch_path, table
 
 REVISIT_MIN = 1000
-#: Payload bytes of an archive, about; a larger single record has one of its own.
+#: Bytes of an archive before compression, about; a larger single record has one of its own.
 ARCHIVE_BYTES = 16 << 20
+#: Bytes of a capture's three records besides the payload and the url, which each of them names.
+HEAD_BYTES = 1500
 END = "\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-RECORD = "rec_id string, type string, concurrent_to string, page_id long, uri string, date string, refers_to string, digest string, bytes long, computed string, payload binary"
+RECORD = "rec_id string, type string, concurrent_to array<string>, page_id long, uri string, date string, refers_to string, digest string, bytes long, computed string, payload binary"
 
 
 def _uuid(*parts) -> F.Column:
@@ -72,7 +77,8 @@ def _record(type_: F.Column, rec: F.Column, concurrent: F.Column | None, headers
 
 def write_archives(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES) -> None:
     """Archives of all pages below path."""
-    total = pages.agg(F.coalesce(F.sum(F.octet_length("html")), F.lit(0)).alias("n")).first()["n"]
+    size = F.coalesce(F.octet_length("html"), F.lit(0)).cast("long") + 4 * F.coalesce(F.octet_length("url"), F.lit(0)) + HEAD_BYTES
+    total = pages.agg(F.coalesce(F.sum(size), F.lit(0)).alias("n")).first()["n"]
     rows = captures(pages, max(1, -(-int(total) // archive_bytes)))
     page, uri = F.col("page_id").cast("string"), F.when(F.col("url") != "", F.regexp_replace("url", "[\r\n]+", "%0A"))
     req, meta = _uuid(F.lit("request"), "cap"), _uuid(F.lit("metadata"), "cap")
@@ -87,8 +93,8 @@ def write_archives(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYT
     records.write.option("lineSep", END).option("compression", "gzip").text(path)
 
 
-def parse(content: bytes) -> Iterator[tuple[dict[str, str], memoryview]]:
-    """Headers (lower-case names) and block of each record of an archive."""
+def parse(content: bytes) -> Iterator[tuple[dict[str, list[str]], memoryview]]:
+    """Headers (lower-case names, all values of each) and block of each record of an archive."""
     data = gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content
     view, at = memoryview(data), 0
     while at < len(data):
@@ -98,8 +104,10 @@ def parse(content: bytes) -> Iterator[tuple[dict[str, str], memoryview]]:
         lines = data[at:stop].decode("utf-8").split("\r\n")
         if not lines[0].startswith("WARC/"):
             raise ValueError(f"no record at byte {at}")
-        head = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-        size = int(head["content-length"])
+        head: dict[str, list[str]] = {}
+        for k, _, v in (x.partition(":") for x in lines[1:]):
+            head.setdefault(k.strip().lower(), []).append(v.strip())
+        size = int(head["content-length"][0])
         if stop + 4 + size > len(data):
             raise ValueError(f"record cut short at byte {at}")
         yield head, view[stop + 4 : stop + 4 + size]
@@ -115,7 +123,7 @@ def _hex_sha1(value: str | None) -> str | None:
 
 
 def _reader(payloads: bool):
-    schema = pa.schema([("rec_id", pa.string()), ("type", pa.string()), ("concurrent_to", pa.string()), ("page_id", pa.int64()), ("uri", pa.string()), ("date", pa.string()), ("refers_to", pa.string()), ("digest", pa.string()), ("bytes", pa.int64()), ("computed", pa.string()), ("payload", pa.binary())])
+    schema = pa.schema([("rec_id", pa.string()), ("type", pa.string()), ("concurrent_to", pa.list_(pa.string())), ("page_id", pa.int64()), ("uri", pa.string()), ("date", pa.string()), ("refers_to", pa.string()), ("digest", pa.string()), ("bytes", pa.int64()), ("computed", pa.string()), ("payload", pa.binary())])
 
     def flush(rows):
         return pa.RecordBatch.from_pylist(rows, schema=schema)
@@ -125,10 +133,11 @@ def _reader(payloads: bool):
             for k in range(batch.num_rows):
                 rows, held = [], 0
                 for head, block in parse(batch.column(0)[k].as_py()):
-                    page, type_ = head.get("x-page-id"), head.get("warc-type")
+                    one = lambda name, head=head: head.get(name, [None])[0]
+                    page, type_ = one("x-page-id"), one("warc-type")
                     rows.append({
-                        "rec_id": head.get("warc-record-id"), "type": type_, "concurrent_to": head.get("warc-concurrent-to"), "page_id": int(page) if page else None,
-                        "uri": head.get("warc-target-uri"), "date": head.get("warc-date"), "refers_to": head.get("warc-refers-to"), "digest": _hex_sha1(head.get("warc-payload-digest")),
+                        "rec_id": one("warc-record-id"), "type": type_, "concurrent_to": head.get("warc-concurrent-to"), "page_id": int(page) if page else None,
+                        "uri": one("warc-target-uri"), "date": one("warc-date"), "refers_to": one("warc-refers-to"), "digest": _hex_sha1(one("warc-payload-digest")),
                         "bytes": len(block), "computed": hashlib.sha1(block).hexdigest() if type_ == "response" else None, "payload": bytes(block) if payloads else None,
                     })
                     held += len(block) if payloads else 0
@@ -147,28 +156,60 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
     return files.mapInArrow(_reader(payloads), RECORD)
 
 
+def captures_of(records: DataFrame) -> DataFrame:
+    """rec_id and capture_id of all records that name others as concurrent: the captures that these lead to, or the ends of their chains.
+
+    Ids only, one step of all chains a round; rounds end when no step reaches a new record.
+    """
+    is_main = F.col("type").isin("response", "revisit")
+    main = records.filter(is_main & F.col("rec_id").isNotNull()).select(F.col("rec_id").alias("to"), F.lit(True).alias("main")).distinct()
+    steps = records.filter(~is_main & F.col("rec_id").isNotNull()).select("rec_id", F.explode("concurrent_to").alias("to")).filter("to is not null").distinct()
+    steps = materialize(steps.join(main, "to", "left").select("rec_id", "to", F.coalesce("main", F.lit(False)).alias("main")), "steps")
+    onward = steps.select(F.col("rec_id").alias("via"), F.col("to").alias("further"), F.col("main").alias("at_main"))
+    known = now = steps
+    while True:
+        after = now.filter("not main").join(onward, F.col("to") == F.col("via")).select("rec_id", F.col("further").alias("to"), F.col("at_main").alias("main")).distinct()
+        now = materialize(after.join(known, ["rec_id", "to"], "left_anti").select("rec_id", "to", "main"), "steps")
+        if now.isEmpty():
+            break
+        known = known.unionByName(now)
+    # ends of chains: places without a step of their own; in a ring all places have one
+    stuck = known.join(known.filter("main").select("rec_id").distinct(), "rec_id", "left_anti")
+    ends = stuck.join(steps.select(F.col("rec_id").alias("to")).distinct(), "to", "left_anti").select("rec_id", F.col("to").alias("end"))
+    least = stuck.select("rec_id", F.least("rec_id", "to").alias("low"))
+    stuck = least.join(ends, "rec_id", "left").groupBy("rec_id").agg(F.coalesce(F.min("end"), F.min("low")).alias("capture_id"))
+    return known.filter("main").select("rec_id", F.col("to").alias("capture_id")).unionByName(stuck)
+
+
 def assemble(records: DataFrame) -> DataFrame:
-    """One nested row for each capture: capture_id and the structs response, request, metadata.
+    """One nested row for each capture: capture_id, the structs response, request and metadata, more (array of all further records) and n_main.
 
-    A record belongs to the response or revisit that its concurrent-to names, or
-    that the record which it names leads to; others stand alone under their own id.
+    ``records`` is read several times, of which all but one need its ids only.
     """
-    main = F.col("type").isin("response", "revisit")
-    via = records.filter(~main & F.col("concurrent_to").isNotNull()).groupBy(F.col("rec_id").alias("__r")).agg(F.min("concurrent_to").alias("__next"))
-    keyed = records.join(via, records["concurrent_to"] == via["__r"], "left").drop("__r")
-    key = F.when(main, F.col("rec_id")).otherwise(F.coalesce("__next", "concurrent_to", "rec_id"))
+    is_main = F.col("type").isin("response", "revisit")
+    others = F.coalesce(~is_main, F.lit(True))
     rec = F.struct(*[c for c in records.columns if c != "concurrent_to"])
-    pick = lambda kind: F.first(F.when(kind, rec), ignorenulls=True)
-    return keyed.groupBy(key.alias("capture_id")).agg(
-        pick(main).alias("response"), pick(F.col("type") == "request").alias("request"), pick(F.col("type") == "metadata").alias("metadata"), F.sum(main.cast("int")).alias("n_main")
-    )
+    alone = records.filter(is_main).select(F.col("rec_id").alias("capture_id"), rec.alias("rec"))
+    to = captures_of(records).withColumnRenamed("rec_id", "__r")
+    led = records.filter(others & (F.size("concurrent_to") > 0) & F.col("rec_id").isNotNull()).join(to, F.col("rec_id") == F.col("__r"), "left")
+    led = led.select(F.coalesce("capture_id", "rec_id").alias("capture_id"), rec.alias("rec"))
+    # without an id a record can't be led by others, but it leads to what it names first
+    free = records.filter(others & (F.coalesce(F.size("concurrent_to"), F.lit(0)) <= 0) | others & F.col("rec_id").isNull())
+    free = free.select(F.coalesce("rec_id", F.get("concurrent_to", F.lit(0))).alias("capture_id"), rec.alias("rec"))
+    kind = F.when(F.col("rec.type").isin("response", "revisit"), "response").otherwise(F.col("rec.type"))
+    rows = alone.unionByName(led).unionByName(free).select("capture_id", "rec", kind.alias("kind"))
+    made = rows.groupBy("capture_id").agg(F.sort_array(F.collect_list(F.struct("kind", "rec"))).alias("recs"))
+    of = lambda name: F.filter("recs", lambda x: x["kind"] == name)
+    first = [F.get(of(name), F.lit(0))["rec"].alias(name) for name in ("response", "request", "metadata")]
+    more = F.concat(*[F.slice(of(name), 2, F.greatest(F.size(of(name)) - 1, F.lit(0))) for name in ("response", "request", "metadata")], F.filter("recs", lambda x: ~F.coalesce(x["kind"].isin("response", "request", "metadata"), F.lit(False))))
+    return made.select("capture_id", *first, F.transform(more, lambda x: x["rec"]).alias("more"), F.when(F.size(of("response")) > 0, F.size(of("response"))).cast("long").alias("n_main"))
 
 
 def transactions(spark: SparkSession, pages: DataFrame, payloads: bool = True) -> DataFrame:
     """Write the pages' archives, read them back, and assemble their captures."""
     path = scratch_path(spark, "warc")
     write_archives(pages, path)
-    return assemble(read_archives(spark, path, payloads))
+    return assemble(materialize(read_archives(spark, path, payloads), "records"))
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
