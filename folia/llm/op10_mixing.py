@@ -5,15 +5,20 @@ read up to twice. Its target is cut into blocks; the exact number of blocks of
 each source is its quota. A binary tree splits the vector of quotas between the
 two halves of the output shards by multivariate hypergeometric draws until each
 shard has its own counts; a shard then draws the next blocks of each source, so
-blocks are disjoint and none is left. Within a shard, blocks go by a hash. Only
-one row a source reaches the driver. Positions in the stream are two-level sums
-(hash buckets of a source, then rows of a bucket), so a source with a third of
-all rows is spread over thousands of windows.
+blocks are disjoint and none is left. Within a shard, blocks go by a hash. A
+block has BLOCK_WORDS words, doubled until all quotas together are below 10**9,
+where the draws are exact at any size of the corpus. Only one row a source
+reaches the driver, and the shards are so many that their counts by source fit
+MAX_CUTS longs. Positions in the stream are two-level sums (hash buckets of a
+source, then rows of a bucket), so a source with a third of all rows is spread
+over thousands of windows; rows go by a digest of doc_id and text, so a doc_id
+that many rows share, or none, is spread as well.
 
 Edge cases: a null text has size 0 and is never taken; a null source is a
 source, last in order; sources of size 0 have target 0; repeated rows are rows
-of their own; null doc_ids stay; an empty table gives no rows. Extra columns
-are ignored (``mix`` keeps the columns of documents).
+of their own; null doc_ids stay; an empty table gives no rows; more than
+MAX_SOURCES sources are refused. Extra columns are ignored (``mix`` keeps the
+columns of documents).
 """
 
 from __future__ import annotations
@@ -21,10 +26,10 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from folia.llm.common import WORD, materialize, table
 
@@ -33,6 +38,10 @@ SHARE, MOST = 1.5, 2
 BLOCK_WORDS, SHARD_BLOCKS, MIN_SHARDS, MAX_SHARDS = 2048, 16384, 8, 4096
 #: Sources are one row each on the driver; more than this is refused.
 MAX_SOURCES = 1_000_000
+#: Counts of blocks by shard and source that the driver holds (128 MB): with more sources there are fewer shards.
+MAX_CUTS = 1 << 24
+#: Blocks of all sources together from which they are larger: the limit of exact draws.
+MAX_BLOCKS = 10**9
 SEED = 7
 
 
@@ -72,23 +81,24 @@ def split(quotas: np.ndarray, shards: int, seed: int = SEED) -> np.ndarray:
 
 
 def draw(rng: np.random.Generator, have: np.ndarray, n: int) -> np.ndarray:
-    """One multivariate hypergeometric draw of n; numpy's own is limited to a total of 10**9."""
-    if have.sum() < 10**9:
-        return rng.multivariate_hypergeometric(have, n, method="marginals")
-    out, rest = np.zeros_like(have), int(have.sum())
-    for i, x in enumerate(have.tolist()):
-        rest -= x
-        if rest + x < 10**9:
-            k = int(rng.hypergeometric(x, rest, n)) if n else 0
-        else:  # a normal step of the same mean and variance, within the possible range
-            p = x / (rest + x)
-            sd = math.sqrt(max(0.0, n * p * (1 - p) * (rest + x - n) / max(1, rest + x - 1)))
-            k = min(max(round(rng.normal(n * p, sd)), n - rest, 0), x, n)
-        out[i], n = k, n - k
-    return out
+    """One multivariate hypergeometric draw of n, exact; all of have must be below MAX_BLOCKS."""
+    return rng.multivariate_hypergeometric(have, n, method="marginals")
+
+
+def plan_blocks(take: list[int], block_words: int = BLOCK_WORDS, max_blocks: int = MAX_BLOCKS) -> tuple[int, np.ndarray]:
+    """Words of a block, and the number of blocks (quota) of each source."""
+    while sum(-(-t // block_words) for t in take) >= max_blocks and block_words < max(take):
+        block_words *= 2
+    return block_words, np.array([-(-t // block_words) for t in take], np.int64)
+
 
+def plan_shards(blocks: int, sources: int) -> int:
+    wanted = min(MAX_SHARDS, max(MIN_SHARDS, -(-blocks // SHARD_BLOCKS)))
+    return max(MIN_SHARDS, min(wanted, MAX_CUTS // max(1, sources) - 1))
 
-def _source_plan(sized: DataFrame, weights, share, most, seed) -> DataFrame:
+
+def _source_plan(sized: DataFrame, weights, share, most, seed, block_words) -> tuple[DataFrame, int, int]:
+    """Table of sources with their cuts (first block of each shard), number of shards, words of a block."""
     spark = sized.sparkSession
     stats = sized.groupBy("source").agg(F.sum("size").alias("n"))
     if (many := stats.count()) > MAX_SOURCES:
@@ -96,13 +106,14 @@ def _source_plan(sized: DataFrame, weights, share, most, seed) -> DataFrame:
     rows = sorted(stats.collect(), key=lambda r: (r["source"] is None, (r["source"] or "").encode("utf-8", "surrogatepass")))
     goal = targets([r["n"] for r in rows], weights, share, most) if rows else []
     take = [math.floor(t + 0.5) for t in goal]
-    quotas = np.array([-(-t // BLOCK_WORDS) for t in take], np.int64)
-    shards = min(MAX_SHARDS, max(MIN_SHARDS, -(-int(quotas.sum()) // SHARD_BLOCKS)))
-    cuts = np.zeros((shards + 1, len(rows)), np.int64)
+    block_words, quotas = plan_blocks(take, block_words) if rows else (block_words, np.zeros(0, np.int64))
+    shards = plan_shards(int(quotas.sum()), len(rows))
+    cuts = np.zeros((len(rows), shards + 1), np.int64)
     if len(rows):
-        cuts[1:] = np.cumsum(split(quotas, shards, seed), axis=0)
-    schema = "source string, source_size long, target double, take long, cuts array<long>"
-    return spark.createDataFrame([(r["source"], int(r["n"]), goal[i], take[i], cuts[:, i].tolist()) for i, r in enumerate(rows)], T.StructType.fromDDL(schema)), shards
+        cuts[:, 1:] = np.cumsum(split(quotas, shards, seed), axis=0).T
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, cuts.size + 1, shards + 1, dtype=np.int32)), pa.array(cuts.ravel()))
+    cols = [pa.array([r["source"] for r in rows], pa.string()), pa.array([int(r["n"]) for r in rows], pa.int64()), pa.array(goal, pa.float64()), pa.array(take, pa.int64()), lists]
+    return spark.createDataFrame(pa.Table.from_arrays(cols, names=["source", "source_size", "target", "take", "cuts"])), shards, block_words
 
 
 def _shard(cuts: Column, block: Column, shards: int) -> Column:
@@ -118,26 +129,31 @@ def _shard(cuts: Column, block: Column, shards: int) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), init, step, lambda acc: acc["lo"])
 
 
-def _pieces(base: Column, which: int, shards: int, seed: int) -> Column:
+def _pieces(base: Column, which: int, shards: int, seed: int, block_words: int) -> Column:
     """Pieces of a row whose words begin at ``base`` of the words drawn in a pass."""
     stop = F.least(base + F.col("size"), F.col("take"))
-    blocks = F.sequence(F.floor(base / BLOCK_WORDS), F.floor((stop - 1) / BLOCK_WORDS))
+    blocks = F.sequence(F.floor(base / block_words), F.floor((stop - 1) / block_words))
 
     def piece(b: Column) -> Column:
         return F.struct(
             _shard(F.col("cuts"), b, shards).alias("shard"), F.xxhash64(F.lit(seed), "source", b).alias("rank"), F.lit(which).alias("pass"), b.alias("block"),
-            (F.greatest(base, b * BLOCK_WORDS) - base).cast("int").alias("start"), (F.least(stop, (b + 1) * BLOCK_WORDS) - base).cast("int").alias("stop"),
+            (F.greatest(base, b * block_words) - base).cast("int").alias("start"), (F.least(stop, (b + 1) * block_words) - base).cast("int").alias("stop"),
         )
 
     return F.when(stop > base, F.transform(blocks, piece)).otherwise(F.array())
 
 
-def plan_mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST, seed: int = SEED, keep: tuple[str, ...] = ()) -> DataFrame:
+def _row_key(doc_id: Column, text: Column, seed: int) -> Column:
+    """Place of a row in its source: equal for equal rows only."""
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(doc_id.cast("string"), F.lit("")), F.md5(F.coalesce(text.cast("string"), F.lit("")))))
+
+
+def plan_mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST, seed: int = SEED, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Each row of docs with source_size, target and pieces: array of (shard, rank, pass, block, start, stop), words of the text."""
-    key = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    key = _row_key(F.col("doc_id"), F.col("text"), seed)
     sized = docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), key.alias("k"))
     sized = materialize(sized.withColumn("b", F.substring("k", 1, 3)), "sizes", narrow=True)
-    sources, shards = _source_plan(sized, weights, share, most, seed)
+    sources, shards, block_words = _source_plan(sized, weights, share, most, seed, block_words)
     ahead = W.partitionBy("source").orderBy("b").rowsBetween(W.unboundedPreceding, -1)
     sums = sized.groupBy("source", "b").agg(F.sum("size").alias("n")).withColumn("off", F.coalesce(F.sum("n").over(ahead), F.lit(0)))
     sums = sums.select(F.col("source").alias("s2"), F.col("b").alias("b2"), "off")
@@ -148,18 +164,20 @@ def plan_mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int =
     sources = sources.withColumnRenamed("source", "s3")
     rows = rows.join(F.broadcast(sources) if small else sources, F.col("source").eqNullSafe(F.col("s3"))).drop("s3")
     begin = F.col("off") + F.col("upto") - F.col("size")
-    made = [_pieces(begin + F.lit(p) * F.col("source_size"), p, shards, seed) for p in range(most)]
-    return rows.select("doc_id", "source", "size", "source_size", "target", "k", F.concat(*made).alias("pieces"))
+    made = [_pieces(begin + F.lit(p) * F.col("source_size"), p, shards, seed, block_words) for p in range(most)]
+    # a shard draws the blocks from its own cut to the next one's
+    pieces = F.filter(F.concat(*made), lambda p: (F.get("cuts", p["shard"]) <= p["block"]) & (p["block"] < F.get("cuts", p["shard"] + 1)))
+    return rows.select("doc_id", "source", "size", "source_size", "target", "k", pieces.alias("pieces"))
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST, seed: int = SEED) -> DataFrame:
     """The mixed pieces with the columns of docs (text cut to the piece) and mix_shard, mix_rank, mix_pass, mix_block, mix_start, mix_stop; sorted within shards."""
     # rows meet their plan by content, as doc_id may repeat or be null; the table's
     # own columns travel in a struct, so that none can clash
-    tag = lambda a, b: F.md5(F.concat_ws("|", F.coalesce(a.cast("string"), F.lit("")), F.coalesce(b.cast("string"), F.lit("\x00"))))
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("__doc"), docs["text"].alias("__text"), tag(docs["doc_id"], docs["source"]).alias("__id"), word_count(docs["text"]).alias("__n"))
+    tag = lambda k, source: F.concat_ws("|", k, F.coalesce(source.cast("string"), F.lit("\x00")))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("__doc"), docs["text"].alias("__text"), tag(_row_key(docs["doc_id"], docs["text"], seed), docs["source"]).alias("__id"), word_count(docs["text"]).alias("__n"))
     rows = rows.withColumn("__i", F.row_number().over(W.partitionBy("__id").orderBy("__n")))
-    plan = plan_mix(docs, weights, share, most, seed).withColumn("__id", tag(F.col("doc_id"), F.col("source")))
+    plan = plan_mix(docs, weights, share, most, seed).withColumn("__id", tag(F.col("k"), F.col("source")))
     plan = plan.withColumn("__i", F.row_number().over(W.partitionBy("__id").orderBy("size")))
     pieces = plan.filter(F.size("pieces") > 0).select("__id", "__i", F.explode("pieces").alias("__p"))
     out = rows.join(pieces, ["__id", "__i"])
@@ -172,15 +190,20 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Besides the digest: n_pieces, the pieces in which shards draw a document, and shard_words, the words that all shards draw of its source."""
     plan = plan_mix(table(spark, sf_dir, "documents"))
-    taken = F.aggregate("pieces", F.lit(0).cast("long"), lambda acc, p: acc + (p["stop"] - p["start"]))
-    return plan.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+    words = lambda: F.aggregate("pieces", F.lit(0).cast("long"), lambda acc, p: acc + (p["stop"] - p["start"]))
+    rows = materialize(plan.select("doc_id", "source", "size", "source_size", "target", words().alias("taken"), F.size("pieces").cast("long").alias("n_pieces"), "pieces"), "pieces")
+    drawn = rows.select("source", F.explode("pieces").alias("p")).groupBy("source", "p.shard").agg(F.sum(F.col("p.stop") - F.col("p.start")).alias("n"))
+    drawn = drawn.groupBy(F.col("source").alias("s2")).agg(F.sum("n").cast("long").alias("shard_words"))
+    out = rows.join(drawn, F.col("source").eqNullSafe(F.col("s2")), "left")
+    return out.select("doc_id", "size", "source_size", "target", "taken", "n_pieces", F.coalesce("shard_words", F.lit(0)).alias("shard_words"))
 
 
 QUERIES = {"op10_mixing": op10_mixing}
 ORACLES = {
     "op10_mixing": f"""
-with d as (select doc_id, source, md5('{SEED}|' || coalesce(doc_id::varchar, '')) as k, cast(len(regexp_extract_all(coalesce(text, ''), '{WORD}')) as bigint) as size from documents),
+with d as (select doc_id, source, md5('{SEED}|' || coalesce(doc_id::varchar, '') || '|' || md5(coalesce(text, ''))) as k, cast(len(regexp_extract_all(coalesce(text, ''), '{WORD}')) as bigint) as size from documents),
 s as (select source, sum(size)::bigint as n, (case (row_number() over (order by source nulls last) - 1) % 3 when 0 then 3 when 1 then 1 else 2 end)::double as w from d group by source),
 r as (select *, coalesce(sum(n) over o, 0) as before, coalesce(sum(w) over o, 0) as w_before, sum(n) over () as all_n, sum(w) over () as all_w from s
  window o as (order by n / w, source nulls last rows between unbounded preceding and 1 preceding)),
@@ -190,5 +213,7 @@ e as (select 1.5 * all_n - 2 * coalesce((select sum(n) from f where is_full), 0)
 t as (select source, n, case when is_full then 2.0 * n else w * e.rest / e.free end::double as target from f, e),
 p as (select d.*, t.n, t.target, floor(t.target + 0.5)::bigint as take, (sum(size) over (partition by d.source order by k, doc_id nulls first, size rows unbounded preceding) - size)::bigint as a
  from d join t on d.source is not distinct from t.source)
-select doc_id, size, n as source_size, target, cast(greatest(0, least(a + size, take) - a) + greatest(0, least(n + a + size, take) - (n + a)) as bigint) as taken from p"""
+select doc_id, size, n as source_size, target, cast(greatest(0, least(a + size, take) - a) + greatest(0, least(n + a + size, take) - (n + a)) as bigint) as taken,
+ cast(case when least(a + size, take) > a then (least(a + size, take) - 1) // {BLOCK_WORDS} - a // {BLOCK_WORDS} + 1 else 0 end
+ + case when least(n + a + size, take) > n + a then (least(n + a + size, take) - 1) // {BLOCK_WORDS} - (n + a) // {BLOCK_WORDS} + 1 else 0 end as bigint) as n_pieces, take as shard_words from p"""
 }
