@@ -1,25 +1,31 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-Confirmed toxic documents are positives, all other documents of the training
-side are unlabelled text that holds toxic ones at the class prior. A linear
-model over the presence of words, word beginnings and word endings is fitted in numpy by the non-negative risk
-estimator: prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)). The features are
-those whose document frequencies in the two samples (of distinct texts) differ most. Fitting uses at most
-MAX_POSITIVE positives and MAX_UNLABELLED unlabelled documents, chosen by a hash
-of the id; scoring covers every whole text.
+Confirmed toxic documents are positives, the other labelled documents of the
+training side, whose labels are then forgotten, are unlabelled text that holds
+toxic ones at the class prior. A linear model over the presence of words, word
+beginnings and word endings is fitted in numpy by the non-negative risk
+estimator: prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)).
+
+The fit takes a bounded sample of labelled rows, chosen by a hash of the id: the
+bounds are the fields ``max_positive`` and ``max_unlabelled`` of :class:`Fit`.
+The features are the ``max_words`` (a parameter of the model as its learning rate
+is) whose document frequencies in the two samples (of distinct texts) differ
+most. Scoring covers every whole text.
 
 Labels are read only for ids whose crc32 leaves a remainder modulo 5 other than
 0, both for the positives and for the prior. Edge cases: null texts count as
 empty and score by the bias alone; a null doc_id counts as the empty string for
-the remainder and is never labelled; without positives every score is the prior
-0; repeated rows have equal scores; repeated labels count once, toxic if any is.
-Extra columns, and labels, lang, source and doc_id, are no input of a score.
+the remainder and is never labelled; without positives or without unlabelled
+text every score is next to 0 (4e-18); repeated rows have equal scores; repeated
+labels count once, toxic if any is. Extra columns, and labels, lang, source and
+doc_id, are no input of a score.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -28,15 +34,27 @@ from pyspark.sql import functions as F
 
 from folia.llm.common import drop_materialized, materialize, table
 
-MAX_POSITIVE, MAX_UNLABELLED = 4096, 16384
-MAX_WORDS, MIN_DF = 512, 4
-#: Standard errors by which the frequencies of a feature must differ at least.
-MIN_Z = 5.0
 BEGINNINGS, ENDINGS = (4, 5, 6), (4, 5)
 FOLDS = 5
-EPOCHS, RATE, DECAY = 600, 0.05, 1e-4
 SEED = 13
 
+
+@dataclass(frozen=True)
+class Fit:
+    """Parameters of the fit."""
+
+    #: Bounds of the sample of labelled rows: positives, and others whose labels are forgotten.
+    max_positive: int = 4096
+    max_unlabelled: int = 16384
+    #: Size of the model, documents that a feature must be in, and standard errors by which its frequencies must differ.
+    max_words: int = 512
+    min_df: int = 4
+    min_z: float = 5.0
+    epochs: int = 600
+    rate: float = 0.05
+    decay: float = 1e-4
+
+
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -79,29 +97,38 @@ def _vectors(vocabulary: dict[str, int]):
     return run
 
 
-def fit(x: np.ndarray, positive: np.ndarray, prior: float, epochs: int = EPOCHS, rate: float = RATE, decay: float = DECAY) -> tuple[np.ndarray, float]:
-    """Weights and bias of the non-negative risk estimator with sigmoid loss, by Adam on whole batches."""
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+
+
+def risk(w: np.ndarray, b: float, xp: np.ndarray, xu: np.ndarray, prior: float, decay: float) -> tuple[float, float]:
+    """The positive part of the risk with half the decay's penalty, and the negative part, which the estimator keeps from falling below 0 (sigmoid loss)."""
+    sp, su = _sigmoid(xp @ w + b), _sigmoid(xu @ w + b)
+    return prior * float((1 - sp).mean()) + 0.5 * decay * float(w @ w), float(su.mean() - prior * sp.mean())
+
+
+def gradient(w: np.ndarray, b: float, xp: np.ndarray, xu: np.ndarray, prior: float, decay: float) -> np.ndarray:
+    """Gradient (weights, then bias) of the whole risk, or, where the negative part is below 0, of minus that part: the estimate overfits there and climbs back."""
+    sp, su = _sigmoid(xp @ w + b), _sigmoid(xu @ w + b)
+    dp, du = prior * sp * (1 - sp) / len(sp), su * (1 - su) / len(su)
+    gp, gu = (-2 * dp, du) if su.mean() - prior * sp.mean() >= 0 else (dp, -du)
+    return np.concatenate((gp @ xp + gu @ xu + decay * w, [gp.sum() + gu.sum()]))
+
+
+def fit(x: np.ndarray, positive: np.ndarray, prior: float, how: Fit = Fit()) -> tuple[np.ndarray, float]:
+    """Weights and bias of the non-negative risk estimator, by Adam on whole batches."""
     xp, xu = x[positive], x[~positive]
     w, b = np.zeros(x.shape[1]), float(np.log(max(prior, 1e-6) / max(1 - prior, 1e-6)))
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
-    sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-    for t in range(1, epochs + 1):
-        sp, su = sig(xp @ w + b), sig(xu @ w + b)
-        negative = su.mean() - prior * sp.mean()
-        # gradients of the mean losses by the outputs
-        dp, du = prior * sp * (1 - sp) / len(sp), su * (1 - su) / len(su)
-        if negative >= 0:
-            gp, gu = -2 * dp, du
-        else:  # the estimate overfits below zero: climb back
-            gp, gu = dp, -du
-        g = np.concatenate((gp @ xp + gu @ xu + decay * w, [gp.sum() + gu.sum()]))
+    for t in range(1, how.epochs + 1):
+        g = gradient(w, b, xp, xu, prior, how.decay)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+        step = how.rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w, b = w - step[:-1], b - step[-1]
     return w, float(b)
 
 
-def train(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], float]:
+def train(docs: DataFrame, labels: DataFrame, how: Fit = Fit()) -> tuple[dict[str, float], float]:
     """Word weights and bias. ``labels`` has doc_id and toxic; its held-out rows are not read."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -109,14 +136,12 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], float]:
     if not toxic:
         return {}, -40.0
     prior = toxic / n if toxic < n else 0.5
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).filter(~held_out(F.col("doc_id")))
     order = F.xxhash64("doc_id", F.lit(SEED))
-    pos = known.filter("toxic = 1").select("doc_id").orderBy(order, "doc_id").limit(MAX_POSITIVE).withColumn("p", F.lit(1))
-    pos = materialize(pos, "positives", MAX_POSITIVE)
-    # unlabelled text: any training row that isn't a chosen positive
-    some = ids.distinct().orderBy(order, "doc_id").limit(MAX_UNLABELLED + MAX_POSITIVE)
-    some = some.join(pos, "doc_id", "left_anti").orderBy(order, "doc_id").limit(MAX_UNLABELLED).withColumn("p", F.lit(0))
-    chosen = materialize(pos.unionByName(some), "chosen", MAX_POSITIVE + MAX_UNLABELLED)  # at most MAX_POSITIVE + MAX_UNLABELLED ids
+    pos = known.filter("toxic = 1").select("doc_id").orderBy(order, "doc_id").limit(how.max_positive).withColumn("p", F.lit(1))
+    pos = materialize(pos, "positives", how.max_positive)
+    # unlabelled text: labelled rows that aren't chosen positives, whatever their labels
+    some = known.select("doc_id").join(pos, "doc_id", "left_anti").orderBy(order, "doc_id").limit(how.max_unlabelled).withColumn("p", F.lit(0))
+    chosen = materialize(pos.unionByName(some), "chosen", how.max_positive + how.max_unlabelled)  # at most so many ids
     sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
     sample = materialize(sample.groupBy("text").agg(F.max("p").alias("p")).select("p", "text"), "sample")
     counts = {r["p"]: r["n"] for r in sample.groupBy("p").agg(F.count("*").alias("n")).collect()}
@@ -126,7 +151,7 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], float]:
     df = sample.mapInArrow(_frequencies, "word string, np long, nu long").groupBy("word").agg(F.sum("np").alias("np"), F.sum("nu").alias("nu"))
     a, u, all_ = F.col("np") / n_pos, F.col("nu") / n_unl, (F.col("np") + F.col("nu")) / (n_pos + n_unl)
     z = (a - u) / F.sqrt(all_ * (1 - all_) * (1 / n_pos + 1 / n_unl) + 1e-9)
-    top = df.filter(F.col("np") + F.col("nu") >= MIN_DF).select("word", z.alias("z")).filter(F.abs("z") >= MIN_Z).orderBy(F.abs("z").desc(), "word").limit(MAX_WORDS)
+    top = df.filter(F.col("np") + F.col("nu") >= how.min_df).select("word", z.alias("z")).filter(F.abs("z") >= how.min_z).orderBy(F.abs("z").desc(), "word").limit(how.max_words)
     vocabulary = {r["word"]: i for i, r in enumerate(top.collect())}
     rows = sample.mapInArrow(_vectors(vocabulary), "p int, hits array<int>").toArrow()
     drop_materialized(sample)
@@ -137,7 +162,7 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], float]:
     # sums in an order of the rows' own, whatever the partitions, so that reruns agree
     rank = [(bool(p), r.tobytes()) for p, r in zip(positive, np.packbits(x > 0, axis=1))]
     order = sorted(range(len(rank)), key=rank.__getitem__)
-    w, b = fit(x[order], positive[order], prior)
+    w, b = fit(x[order], positive[order], prior, how)
     return {word: float(w[i]) for word, i in vocabulary.items()}, b
 
 
@@ -153,9 +178,9 @@ def _scorer(weights: dict[str, float], bias: float):
     return run
 
 
-def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, how: Fit = Fit()) -> DataFrame:
     """doc_id, held_out, score and predicted of every row."""
-    weights, bias = train(docs, labels)
+    weights, bias = train(docs, labels, how)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     made = rows.mapInArrow(_scorer(weights, bias), "doc_id long, score double")
     return made.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
@@ -173,9 +198,9 @@ def _filter(weights: dict[str, float], bias: float, at: int):
     return run
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def drop_toxic(docs: DataFrame, labels: DataFrame, how: Fit = Fit()) -> DataFrame:
     """The rows of docs that the model doesn't reject."""
-    weights, bias = train(docs, labels)
+    weights, bias = train(docs, labels, how)
     return docs.mapInArrow(_filter(weights, bias, docs.columns.index("text")), docs.schema)
 
 
