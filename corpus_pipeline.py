@@ -8,13 +8,12 @@ stage's rows to shared storage and reads them again for the next one.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from folia.llm.common import materialize, table
 from folia.llm.op3_secrets import redact
-from folia.llm.op4_decontaminate import contaminated
+from folia.llm.op4_decontaminate import drop_contaminated
 from folia.llm.op7_toxicity import drop_toxic
-from folia.llm.op8_simhash import simhash_groups
+from folia.llm.op8_simhash import one_of_each
 from folia.llm.op10_mixing import mix
 
 
@@ -24,17 +23,13 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each SimHash group stays; of equal rows one, and rows without an id unless they are equal."""
-    groups = simhash_groups(docs)
-    keep = groups.filter("doc_id = component_id or component_id is null").select("doc_id").distinct()
-    kept = docs.join(keep, docs["doc_id"].eqNullSafe(keep["doc_id"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+    """One document of each SimHash group stays: that of the smallest doc_id, told apart by doc_id and text."""
+    return one_of_each(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a test item go."""
-    bad = contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(bad, docs["doc_id"] == bad["doc_id"], "left_anti").select(*docs.columns)
+    """Documents with a test item go, whatever their ids."""
+    return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

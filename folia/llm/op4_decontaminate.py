@@ -5,12 +5,17 @@ more than that budget, some piece must occur unchanged; one Aho-Corasick pass
 over a document finds all piece hits, and from each the rest of the item is
 compared on both sides with Myers' bit-parallel distance (whole integers as bit
 vectors). Items are a stated query set: they go to the executors in blocks of
-bounded size, however many there are, and a document is read once a block.
+bounded size, however many there are, and a document is read once a block; with
+several blocks, each one's result is stored and the block released before the
+next is collected, so driver and executors hold one block at a time.
 
 Both sides are compared lower-cased with runs of anything but letters and
 digits as one blank. Edge cases: null and empty texts and items match nothing;
 items below ``min_chars`` must occur as whole words; repeated items and rows
-give their own pairs; null ids stay null. Extra columns are ignored.
+give their own pairs; null ids stay null; of equally near places the first found
+counts (pieces from left to right, each by its occurrences in the text), and a
+block holds at least one item, however long. Extra columns are ignored
+(``drop_contaminated`` keeps them).
 """
 
 from __future__ import annotations
@@ -25,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folia.llm.common import table
+from folia.llm.common import drop_materialized, materialize, table
 
 RATE = 0.08
 #: Shorter items have no budget and must stand between blanks.
@@ -146,14 +151,19 @@ class Matcher:
 _made: dict[str, Matcher] = {}
 
 
+def _matcher(name: str, shared, rate: float, min_chars: int) -> Matcher:
+    """The automaton of the block at hand, which a worker keeps."""
+    if name not in _made:
+        _made.clear()
+        _made[name] = Matcher(shared.value, rate, min_chars)
+    return _made[name]
+
+
 def _finder(shared, rate: float, min_chars: int):
-    name = uuid.uuid4().hex  # a worker keeps the automaton of the block at hand
+    name = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if name not in _made:
-            _made.clear()
-            _made[name] = Matcher(shared.value, rate, min_chars)
-        matcher = _made[name]
+        matcher = _matcher(name, shared, rate, min_chars)
         for batch in batches:
             out: list[list] = [[], [], [], [], [], []]
             ids, texts = batch.column(0), batch.column(1)
@@ -168,27 +178,63 @@ def _finder(shared, rate: float, min_chars: int):
     return run
 
 
-def item_blocks(items: DataFrame, block_chars: int = BLOCK_CHARS) -> Iterator[list[tuple[int | None, str]]]:
-    """The items in blocks of about block_chars characters each; a longer single item is a block."""
-    rows = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
-    total = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
-    n = max(1, -(-int(total) // block_chars))
-    for k in range(n):
-        mine = rows if n == 1 else rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
-        got = [(r["item_id"], r["text"]) for r in mine.collect()]
-        if got:
-            yield got
+def _cleaner(shared, rate: float, min_chars: int, at: int):
+    name = uuid.uuid4().hex
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = _matcher(name, shared, rate, min_chars)
+        for batch in batches:
+            texts = batch.column(at)
+            yield batch.filter(pa.array([not matcher.find(texts[i].as_py()) for i in range(batch.num_rows)], pa.bool_()))
+
+    return run
+
+
+def count_blocks(items: DataFrame, block_chars: int) -> int:
+    """Blocks of about block_chars characters each that the items make."""
+    total = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
+    return max(1, -(-int(total) // block_chars))
+
+
+def item_block(items: DataFrame, k: int, n: int) -> list[tuple[int | None, str]]:
+    """Block k of n of the items (item_id, text); a longer single item is a block."""
+    mine = items if n == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
+    return [(r["item_id"], r["text"]) for r in mine.collect()]
+
+
+def _items(items: DataFrame) -> DataFrame:
+    return items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
 
 
 def contaminated(docs: DataFrame, items: DataFrame, rate: float = RATE, min_chars: int = MIN_CHARS, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """One row for each document and item that occurs in it, with the best occurrence."""
-    spark = docs.sparkSession
+    spark, items = docs.sparkSession, _items(items)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out = None
-    for block in item_blocks(items, block_chars):
-        got = rows.mapInArrow(_finder(spark.sparkContext.broadcast(block), rate, min_chars), PAIR)
+    n, out = count_blocks(items, block_chars), None
+    for k in range(n):
+        shared = spark.sparkContext.broadcast(item_block(items, k, n))
+        got = rows.mapInArrow(_finder(shared, rate, min_chars), PAIR)
+        if n > 1:
+            got = materialize(got, "found")
+            shared.destroy()
         out = got if out is None else out.unionByName(got)
-    return spark.createDataFrame([], PAIR) if out is None else out
+    return out
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, rate: float = RATE, min_chars: int = MIN_CHARS, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The rows of docs in which no item occurs; each row is judged by its own text, whatever its id."""
+    spark, items = docs.sparkSession, _items(items)
+    n, out = count_blocks(items, block_chars), docs
+    for k in range(n):
+        shared = spark.sparkContext.broadcast(item_block(items, k, n))
+        got = out.mapInArrow(_cleaner(shared, rate, min_chars, docs.columns.index("text")), docs.schema)
+        if n > 1:
+            got = materialize(got, "clean")
+            shared.destroy()
+            if k:
+                drop_materialized(out)
+        out = got
+    return out
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

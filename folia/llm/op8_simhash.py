@@ -24,7 +24,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folia.llm.common import by_cell, cells, connected_components, materialize, packed, runs, star, table
@@ -56,15 +56,16 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = batch.column(1)
+        texts = batch.column(0)
         fps = np.fromiter((fingerprint(texts[i].as_py()) for i in range(len(texts))), np.uint64, len(texts))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(fps.view(np.int64))], names=[*batch.schema.names[1:], "fp"])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp (the 64 bits as a long) of every row."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_fingerprints, "doc_id long, fp long")
+def fingerprints(docs: DataFrame, **more: Column) -> DataFrame:
+    """doc_id, the further columns and fp (the 64 bits as a long) of every row."""
+    rows = docs.select(F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"), *[c.alias(k) for k, c in more.items()])
+    schema = ", ".join(f"{k} {t}" for k, t in rows.dtypes[1:])
+    return rows.mapInArrow(_fingerprints, f"{schema}, fp long")
 
 
 def gray_rank(fp: np.ndarray) -> np.ndarray:
@@ -163,19 +164,43 @@ def link_fingerprints(fps: DataFrame, max_diff: int = MAX_DIFF, cell_rows: int =
     return dealt.mapInArrow(_links(max_diff), "a long, b long").distinct()
 
 
-def simhash_groups(docs: DataFrame, max_diff: int = MAX_DIFF) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable) of every row."""
-    rows = materialize(fingerprints(docs), "fingerprints", narrow=True)
+def simhash_roots(docs: DataFrame, max_diff: int = MAX_DIFF, **more: Column) -> tuple[DataFrame, DataFrame]:
+    """Rows of doc_id, further columns and fp; and of each fp its smallest doc_id (low) and the root of its group."""
+    rows = materialize(fingerprints(docs, **more), "fingerprints")
     n = rows.count()
     distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n_same")), "codes", n)
     comp = connected_components(link_fingerprints(distinct.select("fp"), max_diff))
     of = distinct.join(comp.withColumnRenamed("node", "fp"), "fp", "left")
-    of = materialize(of.select("fp", "low", F.coalesce("component", "fp").alias("root")), "roots", n)
+    return rows, materialize(of.select("fp", "low", F.coalesce("component", "fp").alias("root")), "roots", n)
+
+
+def simhash_groups(docs: DataFrame, max_diff: int = MAX_DIFF) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable) of every row."""
+    rows, of = simhash_roots(docs, max_diff)
     least = of.groupBy("root").agg(F.min("low").alias("component_id"))
     named = of.join(least, "root").select("fp", "component_id")
     return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def row_key(docs: DataFrame) -> Column:
+    """Digest of doc_id and text: equal for rows that agree in both, nulls included."""
+    return F.md5(F.concat_ws("|", F.coalesce(docs["doc_id"].cast("string"), F.lit("null")), F.coalesce(F.md5(docs["text"].cast("string")), F.lit("null"))))
+
+
+def one_of_each(docs: DataFrame, max_diff: int = MAX_DIFF) -> DataFrame:
+    """One row of each group, with all columns of docs: that of the smallest doc_id (none last), then of the smallest digest.
+
+    Rows are told apart by doc_id and text, so a repeated or missing doc_id
+    neither keeps a copy nor drops another text; of equal rows one stays.
+    """
+    rows, of = simhash_roots(docs, max_diff, k=row_key(docs))
+    first = rows.join(of.select("fp", "root"), "fp").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k")).alias("one"))
+    # the table's own columns travel in a struct, so that none can clash
+    own = docs.select(row_key(docs).alias("__k"), F.struct(*[docs[c] for c in docs.columns]).alias("__doc"))
+    kept = own.join(first.select(F.col("one.k").alias("__k")), "__k", "left_semi").dropDuplicates(["__k"])
+    return kept.select(*[F.col("__doc").getField(c).alias(c) for c in docs.columns])
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
