@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from folia.functions import predicates as p
 from folia.operators.sequence import islands
 from folia.operators.spans import SQL_LINES, documents, lines, literal, page_md, table
+from folia.plans.scratch import materialize
 
 BAND, MIN_PAGES, MAX_WORDS = 3, 3, 14
 BLOCK_BAND, BLOCK_LINES, BLOCK_BYTES = 2, 12, 600
@@ -137,8 +138,9 @@ def strip_blocks(pages: DataFrame) -> DataFrame:
     def kept(blocks: F.Column) -> F.Column:
         n = F.size(blocks)
         edge = lambda i: (i < BLOCK_BAND) | (i + BLOCK_BAND >= n)
-        first = lambda b: F.get(F.filter(F.map_entries("repeated"), lambda e: e["key"] == key(b)), 0)["value"]
-        return F.when(n <= 2 * BLOCK_BAND, blocks).otherwise(F.filter(blocks, lambda b, i: ~F.coalesce(edge(i) & (F.col("page") > first(b)), F.lit(False))))
+        # the key of an edge block is made once and looked up
+        later = lambda b: F.coalesce(F.col("page") > F.col("repeated")[key(b)], F.lit(False))
+        return F.when(n <= 2 * BLOCK_BAND, blocks).otherwise(F.filter(blocks, lambda b, i: F.when(edge(i), ~later(b)).otherwise(F.lit(True))))
 
     rows = rows.withColumn("parts", F.when(F.col("repeated").isNotNull(), parts)).withColumn("kept", F.when(F.col("parts").isNotNull(), kept(F.col("parts"))))
     text = F.concat(F.lit("\n\n"), F.array_join("kept", "\n\n"), F.lit("\n\n"))
@@ -219,7 +221,8 @@ def running_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stripped_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages left by the passes over running lines and counters: size and digest."""
-    out = strip_counters(strip_running(_chat_pages(spark, sf_dir)))
+    pages = materialize(_chat_pages(spark, sf_dir), "pages")
+    out = strip_counters(materialize(strip_running(pages), "pages"))
     return out.select(*PAGE, F.length("chunk").alias("n_chars"), F.md5("chunk").alias("digest"))
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -80,12 +82,35 @@ def range_join(left: DataFrame, right: DataFrame, on: Column, keys: list[str] =
 
 
 def skew_energy(points: DataFrame, keys: list[str], bin_size: float, angles=ANGLES) -> DataFrame:
-    """keys, angle, energy: the sum of squared counts of rotated heights. Points have x and y."""
-    rot = F.explode(F.array(*[F.struct(F.lit(float(a)).alias("angle"), F.lit(math.cos(math.radians(a))).alias("c"), F.lit(math.sin(math.radians(a))).alias("s")) for a in angles]))
-    rows = points.select(*keys, "x", "y", rot.alias("r"))
-    height = F.round(F.col("y") * F.col("r.c") - F.col("x") * F.col("r.s"), 6)
-    bins = rows.groupBy(*keys, F.col("r.angle").alias("angle"), F.floor(height / bin_size).alias("bin")).agg(F.count("*").alias("n"))
-    return bins.groupBy(*keys, "angle").agg(F.sum(F.col("n") * F.col("n")).alias("energy"))
+    """keys, angle, energy: the sum of squared counts of rotated heights. Points have x and y.
+
+    The points of a group, which are those of a page, come together once and all
+    angles are tried on them there.
+    """
+    turned = [(float(a), math.cos(math.radians(a)), math.sin(math.radians(a))) for a in angles]
+    n = len(keys)
+
+    def energies(batches):
+        for batch in batches:
+            ends = np.cumsum(np.asarray(batch.column(n).value_lengths()))
+            x, y = (batch.column(k).flatten().to_numpy() for k in (n, n + 1))
+            made = np.empty((batch.num_rows, len(turned)), np.int64)
+            row = np.repeat(np.arange(batch.num_rows), np.diff(np.concatenate(([0], ends))))
+            for k, (_, c, s) in enumerate(turned):
+                bins = np.floor(np.round(y * c - x * s, 6) / bin_size).astype(np.int64)
+                order = np.lexsort((bins, row))
+                r, b = row[order], bins[order]
+                first = np.flatnonzero(np.concatenate(([True], (r[1:] != r[:-1]) | (b[1:] != b[:-1])))) if len(r) else np.zeros(0, np.int64)
+                size = np.diff(np.append(first, len(r)))
+                made[:, k] = np.bincount(r[first], size * size, batch.num_rows)
+            at = pa.array(np.repeat(np.arange(batch.num_rows), len(turned)))
+            cols = [batch.column(k).take(at) for k in range(n)]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(np.tile([a for a, _, _ in turned], batch.num_rows)), pa.array(made.ravel())], names=[*keys, "angle", "energy"])
+
+    rows = points.groupBy(*keys).agg(F.collect_list(F.struct(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))).alias("p"))
+    rows = rows.select(*keys, "p.x", "p.y")
+    schema = ", ".join(f"`{k}` {t}" for k, t in rows.dtypes[:n])
+    return rows.mapInArrow(energies, f"{schema}, angle double, energy long")
 
 
 def best_angle(energy: DataFrame, keys: list[str]) -> DataFrame:
@@ -198,8 +223,8 @@ def box_algebra(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def margin_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs of lines that follow each other within 3.5 em, as blocks of vertical text are joined."""
-    rows = lines(documents(spark, sf_dir)).filter("trim(line) <> '' and line_no % 6 <> 5")
+    """Runs of lines that follow each other closely, as blocks of vertical text are joined; every sixth line is set off."""
+    rows = lines(documents(spark, sf_dir)).filter("trim(line) <> ''").withColumn("y", F.col("y") - 40 * F.floor(F.col("line_no") / 6))
     order = [F.col("line_no")]
     rows = islands(rows, PAGE, order, (lagged("y", PAGE, order) - F.col("y")) > 2.0 * F.col("size"), "run")
     return rows.groupBy("doc_id", "page").agg((F.max("run") + 1).alias("n_runs"))
@@ -229,5 +254,5 @@ select doc_id, page, part, min(lo) as x0, max(hi) as x1, count(*) as n from n gr
     "box_algebra": """with b as (select p_partkey, least(k % 500, (k * 7) % 500)::double as x0, least(k % 300, (k * 3) % 300)::double as y0, greatest(k % 500, (k * 7) % 500)::double as x1, greatest(k % 300, (k * 3) % 300)::double as y1, (p_size % 3)::double as a from (select *, p_partkey as k from part) z),
 c as (select *, a * x0 - 0.25 * y0 + 10 as p1, a * x0 - 0.25 * y1 + 10 as p2, a * x1 - 0.25 * y0 + 10 as p3, a * x1 - 0.25 * y1 + 10 as p4, 0.5 * x0 + 2 * y0 - 5 as q1, 0.5 * x0 + 2 * y1 - 5 as q2, 0.5 * x1 + 2 * y0 - 5 as q3, 0.5 * x1 + 2 * y1 - 5 as q4 from b)
 select p_partkey, least(p1, p2, p3, p4)::double as x0, least(q1, q2, q3, q4)::double as y0, greatest(p1, p2, p3, p4)::double as x1, greatest(q1, q2, q3, q4)::double as y1, x0 < 200 and x1 > 100 and y0 < 200 and y1 > 100 as meets, 1.0::double as unit_a, 0.0::double as unit_e from c""",
-    "margin_runs": f"with {SQL_LINES}, r as (select *, lag(y) over (partition by doc_id, page order by line_no) - y as fall from ln where trim(line) <> '' and line_no % 6 <> 5) select doc_id, page, sum(case when fall is null or fall > 2.0 * size then 1 else 0 end) as n_runs from r group by doc_id, page",
+    "margin_runs": f"with {SQL_LINES}, r as (select *, lag(y - 40 * (line_no // 6)) over (partition by doc_id, page order by line_no) - (y - 40 * (line_no // 6)) as fall from ln where trim(line) <> '') select doc_id, page, sum(case when fall is null or fall > 2.0 * size then 1 else 0 end) as n_runs from r group by doc_id, page",
 }

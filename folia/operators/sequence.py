@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -27,14 +28,35 @@ def anchored(rows: DataFrame, keys: list[str], order: list[Column], value: str,
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, anchor, n = None, 0.0, 0
         for batch in batches:
-            made = []
-            for *key, x in zip(*[batch.column(i).to_pylist() for i in at], batch.column(v).to_pylist()):
-                if key != last:
-                    last, anchor, n = key, x, 0
-                elif abs(x - anchor) > tolerance:
-                    anchor, n = x, n + 1
-                made.append(n)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.int32())], names=[*batch.schema.names, name])
+            if not batch.num_rows:
+                continue
+            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in at]
+            new = np.zeros(batch.num_rows, bool)
+            for c in cols:
+                new[1:] |= c[1:] != c[:-1]
+            new[0] = last != tuple(c[0] for c in cols)
+            last = tuple(c[-1] for c in cols)
+            x = batch.column(v).to_numpy(zero_copy_only=False).astype(float)
+            made = np.empty(len(x), np.int32)
+            stops = [*np.flatnonzero(new).tolist(), len(x)]
+            if stops[0]:
+                stops.insert(0, 0)
+            for a, z in zip(stops, stops[1:]):
+                if new[a]:
+                    anchor, n = x[a], 0
+                # rows up to the next one beyond the anchor's reach are one group
+                while a < z:
+                    far = np.flatnonzero(np.abs(x[a : min(z, a + 64)] - anchor) > tolerance)
+                    if not len(far):
+                        made[a : min(z, a + 64)] = n
+                        a = min(z, a + 64)
+                        continue
+                    made[a : a + far[0]] = n
+                    a += int(far[0])
+                    anchor, n = x[a], n + 1
+                    made[a] = n
+                    a += 1
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made)], names=[*batch.schema.names, name])
 
     return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(number, out)
 
