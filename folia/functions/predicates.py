@@ -54,7 +54,13 @@ SYMBOL = {
     0x20: " !∀#∃%&∋()∗+,−./0123456789:;<=>?≅ΑΒΧΔΕΦΓΗΙϑΚΛΜΝΟΠΘΡΣΤΥςΩΞΨΖ[∴]⊥_", 0x61: "αβχδεφγηιϕκλμνοπθρστυϖωξψζ{|}∼",
     0xA1: "ϒ′≤⁄∞ƒ♣♦♥♠↔←↑→↓°±″≥×∝∂•÷≠≡≈…", 0xC0: "ℵℑℜ℘⊗⊕∅∩∪⊃⊇⊄⊂⊆∈∉∠∇®©™∏√⋅¬∧∨⇔⇐⇑⇒⇓◊〈", 0xE5: "∑", 0xF1: "〉∫", 0xFB: "✗✓",
 }
-PRIVATE = ("".join(chr(0xF000 + at + k) for at, run in SYMBOL.items() for k in range(len(run))), "".join(SYMBOL.values()))
+# fixed values: characters of the Wingdings font by code, which go before the Symbol font's where the font isn't known
+WINGDINGS = {
+    0x20: " ", 0x3E: "✇", 0x52: "☼", 0x6F: "□", 0x70: "🞐", 0x75: "◆", 0x76: "❖", 0x77: "⬥", 0x78: "⌧", 0x79: "⮹", 0x7D: "🙶", 0x97: "🙠", 0x9F: "•", 0xA0: "€",
+    0xA3: "🞈", 0xA7: "▪", 0xA8: "◻", 0xAE: "✹", 0xB3: "⌑", 0xB7: "•", 0xD8: "⮚", 0xF0: "⇨", 0xFB: "🗶", 0xFC: "✔",
+}
+_PRIVATE = {at + k: ch for at, run in SYMBOL.items() for k, ch in enumerate(run)} | WINGDINGS
+PRIVATE = ("".join(chr(0xF000 + code) for code in _PRIVATE), "".join(_PRIVATE.values()))
 DINGBATS = "SYMBOL|ZAPFDINGBATS|WINGDINGS|PICTS"
 
 

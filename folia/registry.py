@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules with QUERIES (name -> callable) and ORACLES (name -> SQL).
-MODULES: tuple[str, ...] = ("folia.operators.canvas", "folia.operators.charstream", "folia.operators.document", "folia.operators.geometry", "folia.operators.media", "folia.operators.routing", "folia.operators.rules", "folia.operators.sequence", "folia.plans.convert")
+MODULES: tuple[str, ...] = ("folia.operators.canvas", "folia.operators.charstream", "folia.operators.document", "folia.operators.geometry", "folia.operators.media", "folia.operators.routing", "folia.operators.rules", "folia.operators.sequence", "folia.plans.convert", "folia.plans.rendered")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
