@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from folia.plans.scratch import drop_materialized, materialize, scratch_path
 
-__all__ = ["WORD", "by_cell", "cells", "connected_components", "drop_materialized", "materialize", "packed", "runs", "scratch_path", "star", "table"]
+__all__ = ["WORD", "by_cell", "cells", "connected_components", "drop_materialized", "materialize", "packed", "runs", "scratch_path", "star", "table", "whole"]
 
 #: Words of the contracts: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -113,6 +113,36 @@ def runs(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[pa.Table
         yield pa.Table.from_batches(held)
 
 
+def whole(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[pa.Table]:
+    """Tables of many whole runs of adjacent rows with equal key; memory is bounded by a batch and the longest run."""
+    held: list[pa.RecordBatch] = []
+
+    def change(batch: pa.RecordBatch, after: pa.RecordBatch | None) -> np.ndarray:
+        """Whether a row's key differs from that of the row before it."""
+        out = np.zeros(batch.num_rows, bool)
+        for k in key:
+            c = batch.column(batch.schema.get_field_index(k)).to_numpy(zero_copy_only=False)
+            out[1:] |= c[1:] != c[:-1]
+            if after is not None:
+                out[0] |= after.column(after.schema.get_field_index(k))[-1].as_py() != c[0]
+        return out
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cuts = np.flatnonzero(change(batch, held[-1] if held else None))
+        if len(cuts):
+            last = int(cuts[-1])
+            done = [*held, batch.slice(0, last)] if last else held
+            if done:
+                yield pa.Table.from_batches(done)
+            held = [batch.slice(last)]
+        else:
+            held.append(batch)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def packed(parts: Iterator[tuple[np.ndarray, ...]], names: list[str], rows: int = 16384) -> Iterator[pa.RecordBatch]:
     """Batches of about so many rows from many small tuples of columns."""
     held: list[tuple[np.ndarray, ...]] = []
