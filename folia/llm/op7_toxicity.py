@@ -1,8 +1,8 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-Confirmed toxic documents are positives, the other labelled documents of the
-training side, whose labels are then forgotten, are unlabelled text that holds
-toxic ones at the class prior. A linear model over the presence of words, word
+Confirmed toxic documents are positives; documents of the labelled training side,
+whose labels are then forgotten, are the unlabelled text, which holds toxic ones
+at the class prior. A linear model over the presence of words, word
 beginnings and word endings is fitted in numpy by the non-negative risk
 estimator: prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)).
 
@@ -43,7 +43,7 @@ SEED = 13
 class Fit:
     """Parameters of the fit."""
 
-    #: Bounds of the sample of labelled rows: positives, and others whose labels are forgotten.
+    #: Bounds of the sample of labelled rows: positives, and rows whose labels are forgotten.
     max_positive: int = 4096
     max_unlabelled: int = 16384
     #: Size of the model, documents that a feature must be in, and standard errors by which its frequencies must differ.
@@ -139,11 +139,11 @@ def train(docs: DataFrame, labels: DataFrame, how: Fit = Fit()) -> tuple[dict[st
     order = F.xxhash64("doc_id", F.lit(SEED))
     pos = known.filter("toxic = 1").select("doc_id").orderBy(order, "doc_id").limit(how.max_positive).withColumn("p", F.lit(1))
     pos = materialize(pos, "positives", how.max_positive)
-    # unlabelled text: labelled rows that aren't chosen positives, whatever their labels
-    some = known.select("doc_id").join(pos, "doc_id", "left_anti").orderBy(order, "doc_id").limit(how.max_unlabelled).withColumn("p", F.lit(0))
+    # unlabelled text: labelled rows whatever their labels, so that toxic ones are in it at the prior
+    some = known.select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(SEED + 1)), "doc_id").limit(how.max_unlabelled).withColumn("p", F.lit(0))
     chosen = materialize(pos.unionByName(some), "chosen", how.max_positive + how.max_unlabelled)  # at most so many ids
     sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
-    sample = materialize(sample.groupBy("text").agg(F.max("p").alias("p")).select("p", "text"), "sample")
+    sample = materialize(sample.select("p", "text").distinct(), "sample")
     counts = {r["p"]: r["n"] for r in sample.groupBy("p").agg(F.count("*").alias("n")).collect()}
     n_pos, n_unl = counts.get(1, 0), counts.get(0, 0)
     if not n_pos or not n_unl:
