@@ -8,6 +8,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -108,6 +109,32 @@ def test_embeddings(spark):
     assert op2_embedding.embedding_groups(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n", [500, 51_282, 10_000_000])
+def test_recall_at_the_least_cosine(n):
+    """Pairs at a cosine of exactly 0.9 share a key as often as planned, however many vectors there are."""
+    rng = np.random.default_rng(n)
+    k, n_tables = op2_embedding.plan_tables(n)
+    slots = op2_embedding.Slots(k, n_tables)
+    a, b = (op2_embedding.unit(rng.standard_normal((400, 64))) for _ in range(2))
+    across = op2_embedding.unit(b - (a * b).sum(axis=1, keepdims=True) * a)
+    near = 0.9 * a + math.sqrt(1 - 0.81) * across
+    met = (slots(a) == slots(near)).any(axis=1).mean()
+    print("recall at 0.9 of", n, "vectors:", met)
+    assert met >= 0.93
+    assert (slots(a)[:, 3:9] == slots(a, 3, 9)).all()
+
+
+def test_pairs_count_at_their_first_table():
+    rng = np.random.default_rng(4)
+    slots = op2_embedding.Slots(3, 40)
+    x = op2_embedding.unit(rng.standard_normal((60, 8)))
+    i, j = np.triu_indices(60, 1)
+    keys = slots(x)
+    tab = rng.integers(0, 40, len(i))
+    want = [(keys[a, :t] == keys[b, :t]).any() for a, b, t in zip(i, j, tab)]
+    assert (op2_embedding._met_before(x, i, j, tab, slots) == np.array(want)).all()
+
+
 # 3
 
 
@@ -256,6 +283,68 @@ def test_passages_recall_of_near_repeats(spark):
     assert len(got) == 2 * len(found) and len(found) >= 0.98 * 400
 
 
+def test_passages_behind_leaders(spark):
+    """Texts with the same frequent words around other inner parts come before an exact pair, which is found whatever the batches are."""
+    rng = random.Random(35)
+    heads, tails = sentence(rng, 24, "h"), sentence(rng, 24, "t")
+    inner = sentence(rng, 30, "pair")
+    rows = [(k, f"{heads} {sentence(rng, 30, f'm{k}')} {tails}") for k in range(40)]
+    rows += [(100 + k, f"{sentence(rng, 12, f's{k}')} {heads} {inner} {tails}") for k in range(2)]
+    df = docs(spark, rows + [(200, f"{heads} {inner} {tails}"), (None, rows[3][1])])
+    said = []
+    for size in ("3", "10000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            said.append(sorted(map(str, op5_passages.repeated_passages(df).collect())))
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert said[0] == said[1]
+    got = {r["doc_id"]: r["class_id"] for r in op5_passages.repeated_passages(df).collect()}
+    # a text that only a row without an id repeats is a repeat as well
+    assert got == {100: 100, 101: 100, 200: 100, 3: 3}
+
+
+def test_compared_contexts():
+    """The links that a cell keeps give the same matched windows and components as all pairs."""
+    rng = np.random.default_rng(3)
+    base, toks = rng.integers(1, 2**62, 60), []
+    for _ in range(40):
+        x = base.copy()
+        for _ in range(rng.integers(0, 4)):
+            at = rng.integers(0, 55)
+            x[at : at + 5] = rng.integers(1, 2**62, 5)
+        toks.append(x)
+    toks += [rng.integers(1, 2**62, 50) for _ in range(30)]
+    n = len(toks)
+    zero = pa.array(np.zeros(n, np.int32))
+    cols = [pa.array(np.zeros(n, np.int64)), zero, zero, zero, pa.array(np.arange(n)), zero, pa.nulls(n, pa.int64()), pa.array(toks, pa.list_(pa.int64()))]
+    cell = pa.RecordBatch.from_arrays(cols, names=["key", "ci", "cj", "chunk", "id", "start", "settled", "tok"])
+    got = {pair for out in op5_passages._compare(46, 41)([cell]) for pair in zip(out.column(0).to_pylist(), out.column(1).to_pylist())}
+    window = {}
+    for i in range(n):
+        for j in range(n):
+            held = np.concatenate(([0], np.cumsum(np.isin(toks[i], toks[j]))))
+            window[i, j] = held[46:] - held[:-46] >= 41
+    pairs = {(i, j) for i in range(n) for j in range(i + 1, n) if window[i, j].any() and window[j, i].any()}
+    assert got <= pairs and union_find(range(n), got) == union_find(range(n), pairs)
+    for i in range(n):
+        want, have = ([window[i, b if a == i else a] for a, b in some if i in (a, b)] for some in (pairs, got))
+        assert not want or (np.any(want, axis=0) == np.any(have, axis=0)).all()
+
+
+def test_matching_windows():
+    """Window against window, by brute force, with repeated and masked tokens."""
+    rng = np.random.default_rng(12)
+    for _ in range(60):
+        t, need = 8, 6
+        base = rng.integers(1, int(rng.choice([8, 30, 1000])), 60)
+        x = np.where(rng.random(60) < 0.1, rng.integers(0, 1000, 60), base)
+        y = np.concatenate((rng.integers(1, 1000, 9), np.roll(base, int(rng.integers(0, 9)))))
+        got = op5_passages.matching(x, y, t, need)
+        tops = [max(sum(v != 0 and v in set(y[b : b + t].tolist()) for v in x[s : s + t].tolist()) for b in range(len(y) - t + 1)) for s in range(len(x) - t + 1)]
+        assert (got == (np.array(tops) >= need)).all()
+
+
 def test_compact_windows():
     rng = np.random.default_rng(6)
     for n, t in ((5, 6), (30, 4), (200, 16), (100, 1)):
@@ -276,8 +365,20 @@ def test_cascade(spark):
     assert len(c.levels) > 2
     wrong = universe.withColumn("in", c.member(F.col("key"))).filter(F.col("in") != (F.crc32("key") % 10 == 0))
     assert wrong.count() == 0
-    with pytest.raises(ValueError):
-        op6_url.Cascade(universe, listed, bits_a_key=3, max_words=4)
+    # levels in several segments, sized by the theory
+    c = op6_url.Cascade(universe, listed, segment_words=2)
+    assert max(len(segments) for _, _, segments in c.levels) > 2 and sum(words for words, _, _ in c.levels) * 64 <= 12 * listed.count()
+    assert universe.withColumn("in", c.member(F.col("key"))).filter(F.col("in") != (F.crc32("key") % 10 == 0)).count() == 0
+    assert not op6_url.Cascade(universe, listed, max_words=4).fits
+
+
+def test_long_lists(spark):
+    """A list that has no place in the plan gives the same verdicts."""
+    hosts = spark.range(3000).select("id", F.concat(F.lit("w.host"), F.col("id").cast("string"), F.lit(".org")).alias("host"))
+    pages = hosts.select(F.col("id").alias("page_id"), F.concat(F.lit("http://"), "host", F.lit("/p")).alias("url"))
+    listed = hosts.filter(F.crc32("host") % 10 == 0).select(F.expr("substring(host, 3)").alias("key"))
+    a, b = (sorted(op6_url.judge_urls(pages, listed, rules=(), max_words=m).collect()) for m in (4, 1 << 20))
+    assert a == b and sum(r["verdict"] == "block" for r in a) == listed.count() > 100
 
 
 def test_urls(spark):
@@ -320,6 +421,30 @@ def test_toxicity(spark):
     assert op7_toxicity.score(df, lab.limit(0)).filter("predicted = 1").count() == 0
 
 
+def test_risk_and_gradient():
+    """The gradient is that of the risk by finite differences; below 0 the negative part climbs."""
+    rng = np.random.default_rng(17)
+    xp, xu = (rng.random((40, 6)) < 0.4).astype(float), (rng.random((90, 6)) < 0.3).astype(float)
+    seen = set()
+    for prior, w, b in ((0.05, rng.standard_normal(6), 0.3), (0.3, rng.standard_normal(6), 0.3), (0.99, np.full(6, 2.0), -3.0)):
+        for decay in (0.0, 0.01):
+            _, negative = op7_toxicity.risk(w, b, xp, xu, prior, decay)
+            seen.add(negative >= 0)
+
+            def part(v, decay=decay, prior=prior, whole=negative >= 0):
+                a, n = op7_toxicity.risk(v[:-1], v[-1], xp, xu, prior, decay)
+                return a + n if whole else 0.5 * decay * v[:-1] @ v[:-1] - n
+
+            at = np.append(w, b)
+            steps = [(part(at + e) - part(at - e)) / 2e-6 for e in 1e-6 * np.eye(7)]
+            assert np.allclose(op7_toxicity.gradient(w, b, xp, xu, prior, decay), steps, atol=1e-7)
+    assert seen == {True, False}
+    # the risk of fitted weights is below that of the start, and separates what can be separated
+    x = np.vstack([np.eye(2)[[0] * 50], np.eye(2)[[0] * 20 + [1] * 80]])
+    w, b = op7_toxicity.fit(x, np.arange(150) < 50, 0.2)
+    assert w[0] + b > 0 > w[1] + b
+
+
 def test_held_out_labels_are_not_read(spark):
     rows = [(k, f"word{k % 7} nasty" if k % 3 == 0 else f"word{k % 7}") for k in range(600)]
     base = [(k, int(k % 3 == 0)) for k in range(600)]
@@ -408,12 +533,23 @@ def test_warc(spark):
 
 def test_warc_parts(spark):
     ddl = op9_warc.RECORD
-    row = lambda rec, kind, to: (rec, kind, to, None, None, None, None, None, 0, None, None)
-    recs = spark.createDataFrame([row("r1", "response", None), row("q1", "request", "r1"), row("m1", "metadata", "q1"), row("q2", "request", "gone"), row("m3", "metadata", None), row(None, "request", None)], ddl)
+    row = lambda rec, kind, *to: (rec, kind, list(to) or None, None, None, None, None, None, 0, None, None)
+    recs = spark.createDataFrame([row("r1", "response"), row("q1", "request", "r1"), row("m1", "metadata", "q1"), row("q2", "request", "gone"), row("m3", "metadata"), row(None, "request")], ddl)
     got = {r["capture_id"]: (bool(r["response"]), bool(r["request"]), bool(r["metadata"])) for r in op9_warc.assemble(recs).collect()}
     assert got == {"r1": (True, True, True), "gone": (False, True, False), "m3": (False, False, True), None: (False, True, False)}
 
 
+def test_warc_chains(spark):
+    """Several concurrent-to fields, chains of three steps, rings, and two records of a kind."""
+    row = lambda rec, kind, *to: (rec, kind, list(to) or None, None, None, None, None, None, 0, None, None)
+    recs = [row("a", "response"), row("b", "revisit"), row("q", "request", "a"), row("m", "metadata", "q"), row("n", "metadata", "m"), row("both", "metadata", "a", "b"), row("x", "request", "y"), row("y", "metadata", "x"), row("end", "request"), row("z", "metadata", "end"), row("w", "resource", "z")]
+    got = {r["capture_id"]: r for r in op9_warc.assemble(spark.createDataFrame(recs, op9_warc.RECORD)).collect()}
+    ids = {k: sorted(x["rec_id"] for x in [r["response"], r["request"], r["metadata"], *r["more"]] if x) for k, r in got.items()}
+    assert ids == {"a": ["a", "both", "m", "n", "q"], "b": ["b", "both"], "x": ["x", "y"], "end": ["end", "w", "z"]}
+    head = b"WARC/1.1\r\nWARC-Type: metadata\r\nWARC-Concurrent-To: <a>\r\nWARC-Concurrent-To: <b>\r\nContent-Length: 0\r\n\r\n\r\n\r\n"
+    assert next(op9_warc.parse(head))[0]["warc-concurrent-to"] == ["<a>", "<b>"]
+
+
 # 10
 
 
@@ -431,9 +567,26 @@ def test_split_tree():
     out = op10_mixing.split(quotas, 13)
     assert (out.sum(axis=0) == quotas).all() and (out >= 0).all() and np.ptp(out.sum(axis=1)) <= 1
     assert (out == op10_mixing.split(quotas, 13)).all()
-    big = np.array([3 * 10**9, 10**9, 5])
-    out = op10_mixing.split(big, 4)
-    assert (out.sum(axis=0) == big).all() and (out >= 0).all()
+
+
+def test_split_is_hypergeometric():
+    """Over many seeds, a shard's blocks of a source have the mean and variance of the exact distribution."""
+    quotas = np.array([60, 30, 10])
+    first = np.array([op10_mixing.split(quotas, 4, seed)[0] for seed in range(3000)])
+    p = quotas / 100
+    assert np.abs(first.mean(axis=0) - 25 * p).max() < 0.15
+    assert np.abs(first.var(axis=0) / (25 * p * (1 - p) * 75 / 99) - 1).max() < 0.1
+
+
+def test_block_sizes():
+    """Blocks grow so that all quotas stay below the limit of exact draws; the tree then splits them exactly."""
+    words, quotas = op10_mixing.plan_blocks([3 * 10**13, 10**13, 5])
+    assert words == 65536 and quotas.sum() < 10**9 and (quotas * words >= [3 * 10**13, 10**13, 5]).all()
+    small, few = op10_mixing.plan_blocks([5000, 0])
+    assert small == 2048 and few.tolist() == [3, 0]
+    out = op10_mixing.split(quotas, 4)
+    assert (out.sum(axis=0) == quotas).all() and (out >= 0).all()
+    assert op10_mixing.plan_shards(10**8, 10) == 4096 and op10_mixing.plan_shards(10**8, 10**6) * 10**6 < 2**24
 
 
 def test_mix(spark):

@@ -43,6 +43,29 @@ def test_awkward_rows(spark):
     assert sorted((r["doc_id"] or 0) for r in kept) == [0, 0, 1, 3]
 
 
+def test_repeated_and_missing_ids(spark, sf):
+    """Each row is judged by its own text: ids may repeat, or be missing."""
+    item = table(spark, sf, "benchmark").select("text").first()["text"]
+    leak = f"before {item} after"
+    ddl = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(None, leak), (None, "clean without an id"), (7, leak), (7, "clean beside a leak of the same id"), (8, "clean")]
+    got = cp.decontaminate(spark, spark.createDataFrame([(*r, "en", "s", 1) for r in rows], ddl), sf)
+    assert sorted(got.select("doc_id", "text").collect(), key=str) == sorted([rows[1], rows[3], rows[4]], key=str)
+    one, two = "a text of several words that two documents share", "some other text that is not at all like the first"
+    rows = [(2, one), (5, one), (5, two), (None, one), (None, two), (6, two), (None, "a third text, of rows without an id"), (None, "a third text, of rows without an id")]
+    got = cp.near_dedup(spark, spark.createDataFrame([(*r, "en", "s", 1) for r in rows], ddl), sf)
+    assert sorted(got.select("doc_id", "text").collect(), key=str) == sorted([rows[0], rows[2], rows[6]], key=str)
+    labels = [(k, k % 2) for k in range(200)]
+    docs = [(k, f"nasty w{k}" if k % 2 else f"kind w{k}") for k in range(200)] + [(None, "nasty"), (None, "kind"), (3, "kind"), (4, "nasty")]
+    scored = spark.createDataFrame([(*r, "en", "s", 1) for r in docs], ddl)
+    kept = cp.drop_toxic(scored, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert not [r for r in kept.collect() if "nasty" in r["text"]] and kept.count() == 102
+    safe = cp.redact(scored.withColumn("text", F.concat("text", F.lit(" token=abcdefghijkl123"))))
+    assert safe.count() == len(docs) and not [r for r in safe.collect() if "token" in r["text"]]
+    mixed = cp.mix(scored)
+    assert {(r["doc_id"], r["text"]) for r in mixed.collect()} <= set(docs) | {(i, w) for i, t in docs for w in t.split()}
+
+
 def test_clashing_columns(spark, sf):
     names = ("__text", "__doc", "__id", "__n", "__i", "__p", "__keep", "fp", "component_id", "pieces", "size", "item_id", "score")
     docs = table(spark, sf, "documents")

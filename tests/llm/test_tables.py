@@ -57,3 +57,49 @@ def test_exact_leaks_are_found(spark, sf):
     want = {(d, i) for d, t in texts(spark, sf) for i, n in items if n and n in norm(t)}
     rows = op4_decontaminate.op4_decontaminate(spark, sf).collect()
     assert want and {(r["doc_id"], r["item_id"]) for r in rows if r["distance"] == 0} == want
+
+
+def similar_windows(x, y, t, need):
+    """Starts of x's windows of which at least need tokens stand in one window of y, by counting all pairs of windows."""
+    places = defaultdict(list)
+    for q, v in enumerate(y):
+        places[v].append(q)
+    out = set()
+    for s in range(len(x) - t + 1):
+        held = [places[v] for v in x[s : s + t] if v in places]
+        if len(held) >= need:
+            at = {q - k for qs in held for q in qs for k in range(t)}
+            if any(sum(any(b <= q < b + t for q in qs) for qs in held) >= need for b in at if 0 <= b <= len(y) - t):
+                out.add(s)
+    return out
+
+
+def test_near_repeats_against_all_pairs_of_windows(spark, sf):
+    """Links and passages against brute force over the table's shorter texts: recall of links and of windows, and no false ones."""
+    docs = table(spark, sf, "documents").filter("length(text) < 3000")
+    found = {r["doc_id"]: r for r in op5_passages.repeated_passages(docs).collect()}
+    toks = {r["doc_id"]: op5_passages.Tokens().of([r["text"].encode()])[0].tolist() for r in docs.collect()}
+    links, windows = [], defaultdict(set)
+    ids = sorted(toks)
+    sets = {d: set(toks[d]) for d in ids}
+    for k, a in enumerate(ids):
+        for b in ids[k + 1 :]:
+            if len(sets[a] & sets[b]) >= 41:
+                mine, theirs = similar_windows(toks[a], toks[b], 46, 41), similar_windows(toks[b], toks[a], 46, 41)
+                if mine and theirs:
+                    links.append((a, b))
+                    windows[a] |= mine
+                    windows[b] |= theirs
+    comp = union_find(ids, links)
+    got = {d: found[d]["class_id"] if d in found else d for d in ids}
+    # nothing false: classes are within components, and passages are covered by similar windows
+    assert all(comp[d] == comp[got[d]] for d in ids)
+    hit = total = 0
+    for d in ids:
+        said = {s for p in (found[d]["passages"] if d in found else []) for s in range(p["start"], p["stop"] - 49)}
+        covered = {w for s in windows[d] for w in range(s, s + 50)}
+        assert {w for p in (found[d]["passages"] if d in found else []) for w in range(p["start"], p["stop"])} <= covered
+        hit, total = hit + len(said & windows[d]), total + len(windows[d])
+    joined = sum(got[a] == got[b] for a, b in links)
+    print("links found:", joined, "of", len(links), "windows found:", hit, "of", total)
+    assert joined >= 0.98 * len(links) > 0 and hit >= 0.98 * total
