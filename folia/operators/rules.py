@@ -25,12 +25,21 @@ NAMES = ["ABCDEF+Wingdings-Regular", "Helvetica", "SymbolMT", "ZapfDingbats", "T
 TITLES = ["# Head", "####### no", "#", "Short title", "A line of text that is longer than sixty bytes, so it can not be one", "Ends.", ""]
 
 
-def _over(spark: SparkSession, texts: list[str], **cols: Column) -> DataFrame:
+def _given(spark: SparkSession, texts: list[str], **cols: Column) -> DataFrame:
+    """Columns over texts that the corpus has nothing like."""
     return values(spark, texts).select("id", *[c.alias(k) for k, c in cols.items()])
 
 
+def _over(spark: SparkSession, sf_dir: str, texts: list[str], **cols: Column) -> DataFrame:
+    """Columns over texts (by id) and over the distinct lines of the corpus (by digest, without id)."""
+    corpus = lines(documents(spark, sf_dir)).select(F.lit(None).cast("int").alias("id"), F.col("line").alias("text")).distinct()
+    rows = values(spark, texts).select(F.col("id").cast("int").alias("id"), "text").unionByName(corpus)
+    return rows.select("id", F.md5("text").alias("digest"), *[c.alias(k) for k, c in cols.items()])
+
+
 def _sql(texts: list[str], **cols: str) -> str:
-    return f"select id, {', '.join(f'{c} as {k}' for k, c in cols.items())} from {sql_values(texts)}"
+    corpus = "select distinct null::int as id, unnest(string_split(text, chr(10))) as text from documents"
+    return f"with every as (select cast(id as int) as id, text from {sql_values(texts)} union all {corpus}) select id, md5(text) as digest, {', '.join(f'{c} as {k}' for k, c in cols.items())} from every"
 
 
 
@@ -60,12 +69,12 @@ _unit = f"regexp_replace(regexp_replace(lower({_t()}), {literal('^' + _UNIT_EDGE
 
 def cell_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values, numbers, amounts and dates among cells."""
-    return _over(spark, CELLS, is_value=p.is_value_cell(F.col("text")), is_numeric=p.is_numeric_cell(F.col("text")), is_amount=p.is_monetary_amount(F.col("text")), is_money=p.is_money(F.col("text")), is_date=p.is_date_like(F.col("text")), is_label=p.is_label(F.col("text")), amount_like=p.is_amount_like(F.col("text")))
+    return _over(spark, sf_dir, CELLS, is_value=p.is_value_cell(F.col("text")), is_numeric=p.is_numeric_cell(F.col("text")), is_amount=p.is_monetary_amount(F.col("text")), is_money=p.is_money(F.col("text")), is_date=p.is_date_like(F.col("text")), is_label=p.is_label(F.col("text")), amount_like=p.is_amount_like(F.col("text")))
 
 
 def cell_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Markers, units, measurements, data tokens, captions, data values, and escaped cells."""
-    return _over(spark, CELLS, is_marker=p.is_marker(F.col("text")), is_unit=p.is_unit(F.col("text")), is_measurement=p.is_measurement(F.col("text")), has_data=p.has_data_token(F.col("text")), has_value=p.carries_data_value(F.col("text")), is_caption=p.has_caption_prefix(F.col("text")), cell=p.md_cell(F.col("text")))
+    return _over(spark, sf_dir, CELLS, is_marker=p.is_marker(F.col("text")), is_unit=p.is_unit(F.col("text")), is_measurement=p.is_measurement(F.col("text")), has_data=p.has_data_token(F.col("text")), has_value=p.carries_data_value(F.col("text")), is_caption=p.has_caption_prefix(F.col("text")), cell=p.md_cell(F.col("text")))
 
 
 def token_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,12 +85,12 @@ def token_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ledger_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _over(spark, LABELS, key=p.ledger_key(F.col("text")), family=p.ledger_family(F.col("text")))
+    return _given(spark, LABELS, key=p.ledger_key(F.col("text")), family=p.ledger_family(F.col("text")))
 
 
 def line_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Furniture keys and page counters of lines."""
-    return _over(spark, LINES, key=p.furniture_key(F.col("text")), n=p.counter(F.col("text"))["n"], m=p.counter(F.col("text"))["m"])
+    return _given(spark, LINES, key=p.furniture_key(F.col("text")), n=p.counter(F.col("text"))["n"], m=p.counter(F.col("text"))["m"])
 
 
 def corpus_line_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,11 +102,11 @@ def corpus_line_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pipe_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _over(spark, ROWS, is_row=p.is_table_row(F.col("text")), is_separator=p.is_separator_row(F.col("text")), n_cells=F.size(p.split_row(F.col("text"))).cast("long"), cells=F.array_join(p.split_row(F.col("text")), "¦"), header=F.array_join(p.header_cells(F.col("text")), "¦"))
+    return _given(spark, ROWS, is_row=p.is_table_row(F.col("text")), is_separator=p.is_separator_row(F.col("text")), n_cells=F.size(p.split_row(F.col("text"))).cast("long"), cells=F.array_join(p.split_row(F.col("text")), "¦"), header=F.array_join(p.header_cells(F.col("text")), "¦"))
 
 
 def url_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _over(spark, URLS, linked=p.linkify(F.col("text")))
+    return _over(spark, sf_dir, URLS, linked=p.linkify(F.col("text")))
 
 
 def corpus_links(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,11 +116,11 @@ def corpus_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def normalized_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _over(spark, RAW, normal=p.normalize_text(F.col("text")))
+    return _over(spark, sf_dir, RAW, normal=p.normalize_text(F.col("text")))
 
 
 def collapsed_spaces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _over(spark, SPACED, collapsed=p.collapse_spaces(F.col("text")))
+    return _over(spark, sf_dir, SPACED, collapsed=p.collapse_spaces(F.col("text")))
 
 
 def hyphen_joins(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,11 +129,11 @@ def hyphen_joins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dingbat_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _over(spark, NAMES, dingbat=p.is_dingbat_face(F.col("text")))
+    return _over(spark, sf_dir, NAMES, dingbat=p.is_dingbat_face(F.col("text")))
 
 
 def title_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _over(spark, TITLES, title=p.first_line_is_title(F.col("text")))
+    return _over(spark, sf_dir, TITLES, title=p.first_line_is_title(F.col("text")))
 
 
 def headings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -193,7 +202,7 @@ ORACLES = {
     "cell_marks": _sql(CELLS, is_marker=_MARKER_SQL("text"), is_unit=_UNIT_SQL("text"), is_measurement=_MEASURE, has_data=_DATA, has_value=_m("text", p.DATA_VALUE), is_caption=_m("text", p.CAPTION),
                        cell=f"case when {_t()} = '' then ' ' else replace({_cell}, chr(8232), '<br>') end"),
     "token_kinds": f"with {SQL_TOKENS} select doc_id, count(*) as n, " + ", ".join(f"count(*) filter (where {c}) as {k}" for k, c in (("n_numeric", _NUMERIC.replace("text", "token")), ("n_amount", _AMOUNT_SQL("token")), ("n_value", _value_of("token")), ("n_marker", _MARKER_SQL("token")), ("n_unit", _UNIT_SQL("token")), ("n_data", _m("token", p.DATA_VALUE)))) + " from tk group by doc_id",
-    "ledger_labels": _sql(LABELS, key=_ledger, family=_family),
+    "ledger_labels": f"select id, {_ledger} as key, {_family} as family from {sql_values(LABELS)}",
     "line_keys": f"select c.id, coalesce({_KEY}, '') as key, cast(case when {_m('b', _RATIO)} then regexp_extract(b, '{_RATIO}', 1) when marked and {_m('b', '^[0-9]{1,9}$')} then b end as bigint) as n, cast(case when {_m('b', _RATIO)} then regexp_extract(b, '{_RATIO}', 2) end as bigint) as m from (select *, {_words('text')} as w from {_COUNTER} y) c",
     "corpus_line_keys": f"with {SQL_LINES} select doc_id, line_no, coalesce({_KEY}, '') as key, {_m('line', chr(92) + 'p{L}')} and not {_m('line', p.DATA_VALUE)} and not {_m('line', '^' + chr(92) + 's*(' + chr(92) + '||<|#|!' + chr(92) + '[)')} and len(w) <= 14 as candidate from (select *, {_words('line')} as w from ln) x",
     "pipe_rows": f"select id, starts_with({_t()}, '|') and ends_with({_t()}, '|') as is_row, len(c) > 0 and len(list_filter(c, lambda x: not regexp_matches({_t('x')}, '^[-:]*-[-:]*$'))) = 0 as is_separator, cast(len(c) as bigint) as n_cells, array_to_string(c, '¦') as cells, array_to_string(list_transform(c, lambda x: lower({_t('regexp_replace(x, ' + literal('(?i)<br(?:>|[/ ' + chr(9) + '][^>]*>)') + ', ' + literal('') + ', ' + literal('g') + ')')})), '¦') as header from (select id, text, {_split} as c from (select id, text, {_hidden} as s from {sql_values(ROWS)}) x) y",
