@@ -173,12 +173,16 @@ def captures_of(records: DataFrame) -> DataFrame:
         if now.isEmpty():
             break
         known = known.unionByName(now)
+    led = known.filter("main").select("rec_id", F.col("to").alias("capture_id"))
+    lost = materialize(known.groupBy("rec_id").agg(F.bool_or("main").alias("main")).filter("not main").select("rec_id"), "lost")
+    if lost.isEmpty():
+        return led
     # ends of chains: places without a step of their own; in a ring all places have one
-    stuck = known.join(known.filter("main").select("rec_id").distinct(), "rec_id", "left_anti")
+    stuck = known.join(lost, "rec_id", "left_semi")
     ends = stuck.join(steps.select(F.col("rec_id").alias("to")).distinct(), "to", "left_anti").select("rec_id", F.col("to").alias("end"))
     least = stuck.select("rec_id", F.least("rec_id", "to").alias("low"))
     stuck = least.join(ends, "rec_id", "left").groupBy("rec_id").agg(F.coalesce(F.min("end"), F.min("low")).alias("capture_id"))
-    return known.filter("main").select("rec_id", F.col("to").alias("capture_id")).unionByName(stuck)
+    return led.unionByName(stuck)
 
 
 def assemble(records: DataFrame) -> DataFrame:
