@@ -92,6 +92,11 @@ def plan_blocks(take: list[int], block_words: int = BLOCK_WORDS, max_blocks: int
     return block_words, np.array([-(-t // block_words) for t in take], np.int64)
 
 
+def fits(sources: DataFrame, longs: int) -> bool:
+    """Whether a row of so many longs for each source makes a small table (8 MB)."""
+    return sources.count() * longs <= 1 << 20
+
+
 def plan_shards(blocks: int, sources: int) -> int:
     wanted = min(MAX_SHARDS, max(MIN_SHARDS, -(-blocks // SHARD_BLOCKS)))
     return max(MIN_SHARDS, min(wanted, MAX_CUTS // max(1, sources) - 1))
@@ -160,7 +165,7 @@ def plan_mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int =
     within = W.partitionBy("source", "b").orderBy("k", F.asc_nulls_first("doc_id"), "size").rowsBetween(W.unboundedPreceding, 0)
     rows = sized.withColumn("upto", F.sum("size").over(within))
     rows = rows.join(sums, F.col("source").eqNullSafe(F.col("s2")) & (F.col("b") == F.col("b2"))).drop("s2", "b2")
-    small = sources.count() * (shards + 1) <= 1 << 20  # 8 MB of cuts
+    small = fits(sources, shards + 1)
     sources = sources.withColumnRenamed("source", "s3")
     rows = rows.join(F.broadcast(sources) if small else sources, F.col("source").eqNullSafe(F.col("s3"))).drop("s3")
     begin = F.col("off") + F.col("upto") - F.col("size")
@@ -191,12 +196,16 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Besides the digest: n_pieces, the pieces in which shards draw a document, and shard_words, the words that all shards draw of its source."""
-    plan = plan_mix(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    plan = plan_mix(docs)
     words = lambda: F.aggregate("pieces", F.lit(0).cast("long"), lambda acc, p: acc + (p["stop"] - p["start"]))
-    rows = materialize(plan.select("doc_id", "source", "size", "source_size", "target", words().alias("taken"), F.size("pieces").cast("long").alias("n_pieces"), "pieces"), "pieces")
+    rows = plan.select("doc_id", "source", "size", "source_size", "target", words().alias("taken"), F.size("pieces").cast("long").alias("n_pieces"), "pieces")
+    rows = materialize(rows, "pieces", docs.count(), wide=True)
     drawn = rows.select("source", F.explode("pieces").alias("p")).groupBy("source", "p.shard").agg(F.sum(F.col("p.stop") - F.col("p.start")).alias("n"))
     drawn = drawn.groupBy(F.col("source").alias("s2")).agg(F.sum("n").cast("long").alias("shard_words"))
-    out = rows.join(drawn, F.col("source").eqNullSafe(F.col("s2")), "left")
+    # a source's words meet its rows where these are: no row moves to the task of its source
+    drawn = materialize(drawn, "drawn", MAX_SOURCES)
+    out = rows.join(F.broadcast(drawn) if fits(drawn, 2) else drawn, F.col("source").eqNullSafe(F.col("s2")), "left")
     return out.select("doc_id", "size", "source_size", "target", "taken", "n_pieces", F.coalesce("shard_words", F.lit(0)).alias("shard_words"))
 
 

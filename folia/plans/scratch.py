@@ -47,17 +47,18 @@ FILE_ROWS = 250_000
 SPLITS = 4
 
 
-def materialize(df: DataFrame, name: str, rows: int | None = None, narrow: bool = False) -> DataFrame:
+def materialize(df: DataFrame, name: str, rows: int | None = None, narrow: bool = False, wide: bool = False) -> DataFrame:
     """Write a table to shared storage and read it back: its lineage ends there.
 
     Small files cost more than their rows: with a bound on its rows, a table has
-    few files however many partitions its plan has, and a narrow table, one made
-    of a scan without a shuffle, has a file for several input splits.
+    few files however many partitions its plan has (a wide one, whose rows are much
+    work, at least two for each task that can run at once), and a narrow table, one
+    made of a scan without a shuffle, has a file for several input splits.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
     if rows is not None:
-        df = df.coalesce(max(1, -(-rows // FILE_ROWS)))
+        df = df.coalesce(max(2 * spark.sparkContext.defaultParallelism if wide else 1, -(-rows // FILE_ROWS)))
     elif narrow:
         n = df._jdf.queryExecution().toRdd().getNumPartitions()
         df = df.coalesce(max(-(-n // SPLITS), min(n, 2 * spark.sparkContext.defaultParallelism), 1))

@@ -589,6 +589,21 @@ def test_block_sizes():
     assert op10_mixing.plan_shards(10**8, 10) == 4096 and op10_mixing.plan_shards(10**8, 10**6) * 10**6 < 2**24
 
 
+def test_mix_has_few_files_whatever_the_shuffles(spark, sf):
+    conf = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        out = op10_mixing.op10_mixing(spark, sf)
+        assert out.rdd.getNumPartitions() <= 2 * spark.sparkContext.defaultParallelism
+        assert out.count() == spark.read.parquet(f"{sf}/documents.parquet").count()
+        assert "hashpartitioning(source" not in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_mix(spark):
     rng = random.Random(11)
     rows = [(k, sentence(rng, rng.randrange(1, 3000)), rng.choice(["a", "b", "B", None])) for k in range(80)] + [(None, "null id here", "a"), (5, "again five", "b"), (900, None, "a"), (901, "", "only-empty")]
