@@ -9,9 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folia.plans.scratch import drop_materialized, materialize, scratch_path
+from folia.plans.scratch import drop_materialized, materialize, scratch_path, settle
 
-__all__ = ["WORD", "by_cell", "cells", "connected_components", "drop_materialized", "materialize", "packed", "runs", "scratch_path", "star", "table", "whole"]
+__all__ = ["WORD", "by_cell", "cells", "connected_components", "drop_materialized", "materialize", "packed", "runs", "scratch_path", "settle", "star", "table", "whole"]
 
 #: Words of the contracts: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -22,15 +22,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+#: Edges that one task unites (some 200 MB); more of them are brought down by rounds first.
+ONE_TASK = 1 << 21
+
+
+def connected_components(edges: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
     """Component of every node that has an edge: columns ``node`` and ``component`` (long).
 
     ``edges`` has long columns ``a`` and ``b``; rows with a null end or equal
     ends are no links. The component id is its smallest node. Alternating
     large-star and small-star steps run until the star forest is stable; each
     step is a minimum by node (combined before the shuffle) and a join back,
-    which the adaptive planner can split where a node is hot. Nothing is
-    collected but two check sums a round.
+    which the adaptive planner can split where a node is hot. Once no more than
+    ``one_task`` edges are left, one task unites them. Nothing is collected but
+    two check sums a round.
     """
     spark = edges.sparkSession
     links = edges.filter("a is not null and b is not null and a <> b").select(
@@ -39,6 +44,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
     now = materialize(links.distinct(), "edges")
     seen = _edge_sum(now)  # rounds never add edges, so their number bounds the next table's rows
     while seen[0]:
+        if seen[0] <= one_task:
+            after = materialize(now.coalesce(1).mapInArrow(_united, "u long, v long"), "edges", seen[0])
+            drop_materialized(now)
+            now = after
+            break
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         # large star: larger neighbours move to the smallest node around
@@ -60,6 +70,18 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
 
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All edges of a table: every node with the smallest one of its component, but that itself."""
+    ends = [np.concatenate(c) for c in zip(*((b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches))]
+    if not ends:
+        return
+    nodes, at = np.unique(np.concatenate(ends), return_inverse=True)
+    low = star(len(nodes), at[: len(ends[0])], at[len(ends[0]) :])
+    for k in np.split(np.flatnonzero(low != np.arange(len(nodes))), range(1 << 16, len(nodes), 1 << 16)):
+        if len(k):
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[k]), pa.array(nodes[low[k]])], names=["u", "v"])
+
+
 def _edge_sum(edges: DataFrame) -> tuple:
     row = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first()
     return tuple(row)

@@ -49,7 +49,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folia.llm.common import WORD, by_cell, cells, connected_components, drop_materialized, materialize, packed, runs, table, whole
+from folia.llm.common import by_cell, cells, connected_components, drop_materialized, materialize, packed, runs, settle, table, whole
 
 MIN_WORDS, SHINGLE, SIMILARITY = 50, 5, 0.8
 #: Windows at similarity 0.8 share a minimum with chance 0.8, and two of five with 0.993.
@@ -65,6 +65,8 @@ SLAB = 1 << 18
 SEEDS = np.random.default_rng(20_230_801).integers(1, 2**63, FUNCTIONS, dtype=np.uint64)
 _DROP = b".,;:!?\"'()[]|"
 _WHITE = b"\t\n\x0b\x0c\r "
+#: A word from its first letter on: marks alone make none.
+_WORD = r"""[^\x20\x09-\x0D.,;:!?"'()\[\]|][^\x20\x09-\x0D]*+"""
 _M = np.uint64(0x9E3779B97F4A7C15)
 _M_INVERSE = np.uint64(pow(int(_M), -1, 1 << 64))
 _NO = np.uint64(0)
@@ -394,11 +396,24 @@ def needed(t: int, similarity: float) -> int:
     return int(np.ceil(2 * similarity / (1 + similarity) * t - 1e-9))
 
 
+def _joined(own: np.ndarray, other: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Runs of starts by own and other, those that overlap or follow each other as one."""
+    if not len(own):
+        return own, other, lo, hi
+    order = np.lexsort((lo, other, own))
+    own, other, lo, hi = (c[order] for c in (own, other, lo, hi))
+    part = np.cumsum(_changes(own, other)).astype(np.int64) << 32
+    ends = np.maximum.accumulate(part + hi)
+    first = np.flatnonzero(np.concatenate(([True], part[1:] + lo[1:] > ends[:-1] + 1)))
+    return own[first], other[first], lo[first], ends[np.append(first[1:], len(own)) - 1] & 0xFFFFFFFF
+
+
 def _contexts(t: int, need: int):
     """Rows of (route, key, fp, id, lo, hi, first): the live runs of each text by pair of functions.
 
     Own tokens (column own) are masked. Of a batch's equal contexts the first of
-    two texts go on by their key; the others are linked with the first, by a route of their own.
+    two texts go on by their key; the others are linked with the first and go by
+    their text, merged where they overlap or follow each other.
     """
 
     def run(batches):
@@ -442,16 +457,19 @@ def _contexts(t: int, need: int):
             new = np.concatenate(([True], (key[1:] != key[:-1]) | (fp[1:] != fp[:-1])))
             group = np.flatnonzero(new)
             which = np.cumsum(new) - 1
-            lead = text[group][which]
             fresh = np.concatenate(([True], new[1:] | (text[1:] != text[:-1])))
             # number of texts of the context up to a row: rows of the first two go on
             seen = np.cumsum(fresh)
             seen = seen - seen[group][which] + 1
             on = seen <= 2
-            own_id = ids[text]
-            route = np.where(on, key.view(np.int64), _mix(key ^ own_id.view(np.uint64)).view(np.int64))
+            # the others: their runs, merged by text and first text
+            mine, at_lead, low_, high_ = (c[~on] for c in (text, text[group][which], lo, hi))
+            mine, at_lead, low_, high_ = _joined(mine, at_lead, low_, high_)
+            own_id, more = ids[text[on]], ids[mine]
+            lead = pa.array(np.concatenate((own_id, ids[at_lead])), mask=np.arange(len(own_id) + len(more)) < len(own_id))
+            both = lambda a, b, kind: pa.array(np.concatenate((a.astype(kind), b.astype(kind))))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(route), pa.array(fp.view(np.int64)), pa.array(own_id), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), pa.array(ids[lead], mask=on)],
+                [both(key.view(np.int64)[on], more, np.int64), both(fp.view(np.int64)[on], np.zeros(len(more)), np.int64), both(own_id, more, np.int64), both(lo[on], low_, np.int32), both(hi[on], high_, np.int32), lead],
                 names=["route", "fp", "id", "lo", "hi", "first"],
             )
 
@@ -862,6 +880,10 @@ def matching(x: np.ndarray, y: np.ndarray, t: int, need: int, x_lens: np.ndarray
     at = np.flatnonzero((run[t:] - run[:-t] >= need) & (True if x_lens is None else inside(x_lens, t)))
     far = np.int64(1) << np.int64(40)
     place = np.where(n > 0, order[np.minimum(lo, len(y) - 1)], far)
+    # all of a window's tokens have places within t of each other
+    near = _slide(np.where(n > 0, place, -far), t, np.maximum) - _slide(place, t, np.minimum) < t
+    good[at[near[at]]] = True
+    at = at[~near[at]]
     many = np.concatenate(([0], np.cumsum(n > 1)))
     # tokens that stand once: need of their places must be within t of each other
     once = at[many[at + t] == many[at]]
@@ -988,16 +1010,25 @@ def _search(rows: DataFrame, twins: DataFrame, t: int, similarity: float) -> tup
     seen = rows.select("h", "text").mapInArrow(_windows(t), "route long, id long, span long").repartition("route").sortWithinPartitions("route")
     shared = seen.mapInArrow(_shared, "id long, span long").repartition("id").sortWithinPartitions("id", "span")
     ranges = materialize(shared.mapInArrow(_ranges(t), "id long, starts array<int>, stops array<int>"), "ranges")
+    settle(rows.sparkSession)
     of = ranges.join(twins, ranges["id"] == twins["h"]).select("id", "low", "starts", "stops")
     texts = rows.join(of, rows["doc_id"].eqNullSafe(of["low"]) & (rows["h"] == of["id"])).select("id", "starts", "stops", "text")
     tok = texts.mapInArrow(_tokens, "h long, starts array<int>, stops array<int>, tok array<long>")
     tok = materialize(tok.withColumn("id", F.monotonically_increasing_id()), "tokens")
     drop_materialized(ranges)
-    alone = tok.select("id", F.explode(F.array_distinct("tok")).alias("v")).groupBy("v").agg(F.min("id").alias("id"), F.max("id").alias("high")).filter("id = high")
-    alone = alone.groupBy("id").agg(F.collect_list("v").alias("own"))
-    masked = tok.select("id", "starts", "stops", "tok").join(alone, "id", "left").withColumn("own", F.coalesce("own", F.array().cast("array<long>")))
-    routed = masked.mapInArrow(_contexts(t, need), _CONTEXTS).repartition("route").sortWithinPartitions("route", "fp", "id")
+    settle(rows.sparkSession)
+    alone = tok.select("id", F.explode("tok").alias("v")).groupBy("v").agg(F.min("id").alias("id"), F.max("id").alias("high")).filter("id = high")
+    # each of the large shuffles ends with a table, so that no two of them are on disk at once
+    alone = materialize(alone.groupBy("id").agg(F.collect_list("v").alias("own")), "alone")
+    settle(rows.sparkSession)
+    masked = materialize(tok.join(alone, "id", "left").withColumn("own", F.coalesce("own", F.array().cast("array<long>"))), "masked")
+    drop_materialized(tok)
+    drop_materialized(alone)
+    settle(rows.sparkSession)
+    tok = masked.drop("own")
+    routed = masked.select("id", "starts", "stops", "tok", "own").mapInArrow(_contexts(t, need), _CONTEXTS).repartition("route").sortWithinPartitions("route", "fp", "id")
     made = materialize(routed.mapInArrow(_link_groups, _LINKS), "links")
+    settle(rows.sparkSession)
 
     def brought(sides: DataFrame) -> DataFrame:
         """rid, side, start, tok of parts (struct of rid, side, p0, p1) of texts (id)."""
@@ -1010,11 +1041,15 @@ def _search(rows: DataFrame, twins: DataFrame, t: int, similarity: float) -> tup
     edges = made.filter("kind = 1").select("a", "b")
 
     def knowledge() -> DataFrame:
-        """The matched spans of each text so far, and its component."""
+        """The matched spans of each text so far, and its component; they stand for all spans and edges so far."""
+        nonlocal spans, edges
         comp = connected_components(edges).withColumnRenamed("node", "id")
         once = spans.repartition("id").sortWithinPartitions("id").mapInArrow(_merged, _SPANS)
         known = once.groupBy("id").agg(F.collect_list(F.struct("start", "stop")).alias("spans")).join(comp, "id", "left")
-        return materialize(known.select("id", "spans", "component"), "known")
+        known = materialize(known.select("id", "spans", "component"), "known")
+        spans = known.select("id", F.inline("spans"))
+        edges = comp.filter("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))
+        return known
 
     def judged(df: DataFrame, known: DataFrame, side: str, lo: str, hi: str) -> DataFrame:
         """df with the component of a text, and whether its tokens lo..hi-1 are in a matched span."""
@@ -1063,6 +1098,7 @@ def _search(rows: DataFrame, twins: DataFrame, t: int, similarity: float) -> tup
         narrow = materialize(narrow.mapInArrow(_narrow(t, need), _NARROW), "narrow")
         least = narrow.groupBy("key", "fp2").agg(F.min("id").alias("low"), F.max("id").alias("high"))
         same = narrow.select("key", "fp2", "id", "start", F.size("tok").alias("n")).join(least.filter("low < high"), ["key", "fp2"])
+        same = materialize(same.select("id", "low", "start", "n"), "same")
         spans = spans.unionByName(same.select("id", F.col("start").cast("long").alias("start"), (F.col("start") + F.col("n")).cast("long").alias("stop")))
         edges = edges.unionByName(same.filter("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b")))
         # one row of a context for the first and one for the last of its texts
@@ -1087,7 +1123,7 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, similarity: f
     rows = rows.withColumn("h", F.xxhash64("text"))
     # rows without an id can't be told apart: one of each text
     rows = rows.filter("doc_id is not null").unionByName(rows.filter("doc_id is null").groupBy("h").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text")).select("doc_id", "text", "h"))
-    n_words = F.regexp_count(F.translate("text", _DROP.decode(), ""), F.lit(WORD)).cast("long")
+    n_words = F.regexp_count("text", F.lit(_WORD)).cast("long")
     base = materialize(rows.select("doc_id", "h", n_words.alias("n_words")), "texts", narrow=True)
     n = base.count()
     nameless = F.max(F.col("doc_id").isNull().cast("long"))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import tempfile
 import uuid
 
@@ -72,3 +73,10 @@ def drop_materialized(df: DataFrame) -> None:
     """Remove a table of :func:`materialize` that no later plan reads."""
     if path := getattr(df, "_folia_path", None):
         discard(df.sparkSession, path)
+
+
+def settle(spark: SparkSession) -> None:
+    """Remove the shuffle files of plans that are done: they stay until the driver collects what refers to them."""
+    gc.collect()
+    spark.sql("select 1").collect()  # listeners hold the last plan until another one ends
+    spark._jvm.System.gc()

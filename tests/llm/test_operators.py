@@ -589,6 +589,29 @@ def test_block_sizes():
     assert op10_mixing.plan_shards(10**8, 10) == 4096 and op10_mixing.plan_shards(10**8, 10**6) * 10**6 < 2**24
 
 
+def test_few_edges_are_united_in_one_task(spark, monkeypatch):
+    from folia.llm import common
+
+    made = []
+    real = common.materialize
+    monkeypatch.setattr(common, "materialize", lambda *a, **k: made.append(1) or real(*a, **k))
+    rng = random.Random(5)
+    pairs = [(k, k + 1) for k in range(300)] + [(rng.randrange(1000, 1400), rng.randrange(1000, 1400)) for _ in range(250)] + [(7, 7)]
+    edges = spark.createDataFrame(pairs, "a long, b long")
+    got = {r["node"]: r["component"] for r in connected_components(edges).collect()}
+    assert len(made) == 2  # distinct edges, and all their components
+    assert got == {r["node"]: r["component"] for r in connected_components(edges, one_task=0).collect()}
+    assert all(got[k] == 0 for k in range(301)) and connected_components(edges.limit(0)).count() == 0
+
+
+def test_passage_words_are_counted_as_they_are_split(spark):
+    rng = random.Random(6)
+    texts = ["".join(rng.choice(" \t\n\x0b\x0c\r.,;:!?\"'()[]|aB\u00e9\u00a0-") for _ in range(rng.randrange(60))) for _ in range(300)] + [""]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = rows.select("text", F.regexp_count("text", F.lit(op5_passages._WORD)).alias("n")).collect()
+    assert all(r["n"] == len(op5_passages.split_words(r["text"])) for r in got)
+
+
 def test_mix_has_few_files_whatever_the_shuffles(spark, sf):
     conf = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
     before = {k: spark.conf.get(k) for k in conf}
