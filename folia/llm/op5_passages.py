@@ -62,10 +62,12 @@ CELL_ROWS = 256
 REGIONS_A_ROW = 256
 #: Bytes of text that are hashed at once.
 SLAB = 1 << 18
+#: Numbers of a bucket's rows go together (2^13 buckets: 7 MB of windows each for 30 GB of text); rows that a task deals at once.
+BUCKET_BITS, DEALT_ROWS = 13, 1 << 18
 SEEDS = np.random.default_rng(20_230_801).integers(1, 2**63, FUNCTIONS, dtype=np.uint64)
 _DROP = b".,;:!?\"'()[]|"
 _WHITE = b"\t\n\x0b\x0c\r "
-#: A word from its first letter on: marks alone make none.
+#: A word from its first letter on, for patterns: marks alone make none.
 _WORD = r"""[^\x20\x09-\x0D.,;:!?"'()\[\]|][^\x20\x09-\x0D]*+"""
 _M = np.uint64(0x9E3779B97F4A7C15)
 _M_INVERSE = np.uint64(pow(int(_M), -1, 1 << 64))
@@ -248,25 +250,69 @@ def start_runs(tok: np.ndarray, live: np.ndarray, t: int, f: int) -> tuple[np.nd
 _AT = 29  # bits of a place in a text
 _SPAN = (1 << _AT) - 1
 _KNOWN = np.int64(1) << np.int64(62)
+_COUNT = np.int64(FUNCTIONS)  # in the place of a function: the row holds a text's number of words
+
+
+def _dealt(parts: Iterator[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+    """Rows of whole numbers as (bucket, rows): a row of Spark holds those of many parts whose first column falls in one bucket.
+
+    So many rows are dealt and sorted as a few arrays, not one by one.
+    """
+    held: list[tuple] = []
+
+    def out() -> pa.RecordBatch:
+        rows = np.stack([np.concatenate(c) for c in zip(*held)], axis=1)
+        bucket = (_mix(rows[:, 0].astype(np.uint64)) >> np.uint64(64 - BUCKET_BITS)).astype(np.uint16)
+        order = np.argsort(bucket, kind="stable")
+        bucket = bucket[order]
+        first = np.flatnonzero(_changes(bucket))
+        ends = (np.append(first, len(rows)) * rows.shape[1] * 8).astype(np.int32)
+        values = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(rows[order]))])
+        return pa.RecordBatch.from_arrays([pa.array(bucket[first].astype(np.int32)), values], names=["bucket", "rows"])
+
+    for part in parts:
+        held.append(tuple(c.astype(np.int64, copy=False) for c in part))
+        if sum(len(h[0]) for h in held) >= DEALT_ROWS:
+            yield out()
+            held = []
+    if held and sum(len(h[0]) for h in held):
+        yield out()
+
+
+def _gathered(batches, n_cols: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Columns of the rows of whole buckets."""
+    for part in whole(batches, ["bucket"]):
+        made = []
+        for chunk in part.column("rows").chunks:
+            _, ends, data = chunk.buffers()
+            at = np.frombuffer(ends, np.int32)[chunk.offset : chunk.offset + len(chunk) + 1]
+            made.append(np.frombuffer(data, np.int64, (int(at[-1]) - int(at[0])) // 8, int(at[0])))
+        yield tuple(np.concatenate(made).reshape(-1, n_cols).T.copy())
+
+
+def _by_bucket(rows: DataFrame) -> DataFrame:
+    return rows.repartition("bucket").sortWithinPartitions("bucket")
 
 
 def _windows(t: int):
-    """Rows of (route, id, span): each text's windows of each function, routed by function and minimum.
+    """Dealt rows of (route, id, span): each text's windows of each function, routed by function and minimum.
 
     span holds the function, the first and the last start. Of a minimum that two
     texts of a batch have, one row goes on by it, and the others, which are
-    known to be shared, go by their text, so that no minimum is hot.
+    known to be shared, go by their text, so that no minimum is hot. A further row
+    brings a text's number of words, if it has t tokens.
     """
 
-    def run(batches):
+    def made_of(batches):
         made = Tokens()
         for batch in batches:
             ids = batch.column(0).to_numpy()
             ids, first = np.unique(ids, return_index=True)
             texts = [batch.column(1)[int(i)].as_py().encode("utf-8", "surrogatepass") for i in first]
-            keys, owners, spans = [], [], []
+            keys, owners, spans, counts = [], [], [], np.zeros(len(texts), np.int64)
             for part in slabs(texts):
                 tok, lens = made.of([texts[i] for i in part])
+                counts[part] = lens
                 if len(tok) < t:
                     continue
                 live = inside(lens, t)
@@ -277,8 +323,11 @@ def _windows(t: int):
                     keys.append(_mix(tok[c] ^ SEEDS[f]))
                     owners.append(own[k])
                     spans.append((np.int64(f) << (2 * _AT)) | ((lo - starts[k]) << _AT) | (hi - starts[k]))
-            if not keys:
+            long = np.flatnonzero(counts >= t)
+            if not len(long):
                 continue
+            own = ids[long]
+            yield own, own, _KNOWN | (_COUNT << (2 * _AT)) | (counts[long] + SHINGLE - 1)
             key, owner, span = np.concatenate(keys), np.concatenate(owners), np.concatenate(spans)
             order = np.argsort(key, kind="stable")
             key, owner, span = key[order], owner[order], span[order]
@@ -290,32 +339,25 @@ def _windows(t: int):
             own = ids[owner]
             route = np.where(on, own, key.view(np.int64))
             span = np.where(known, span | _KNOWN, span)
-            yield pa.RecordBatch.from_arrays([pa.array(route), pa.array(own), pa.array(span)], names=["route", "id", "span"])
+            yield route, own, span
 
-    return run
+    return lambda batches: _dealt(made_of(batches))
 
 
 def _shared(batches):
-    """Of rows sorted by route: those whose route has two texts or a known row. Undecided rows, of one text each, wait."""
-    held: tuple | None = None
-    open_route = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        cols = tuple(batch.column(k).to_numpy() for k in range(3))
-        if held is not None:
-            cols = tuple(np.concatenate(p) for p in zip(held, cols))
-        route, own, span = cols
-        group = np.flatnonzero(np.concatenate(([True], route[1:] != route[:-1])))
-        size = np.diff(np.append(group, len(route)))
-        known = np.maximum.reduceat(span, group) >= _KNOWN
-        good = known | (np.minimum.reduceat(own, group) != np.maximum.reduceat(own, group))
-        good[0] |= open_route is not None and route[0] == open_route
-        keep = np.repeat(good, size)
-        last = int(group[-1])
-        held, open_route = (None, int(route[-1])) if good[-1] else (tuple(c[last:] for c in cols), None)
-        if keep.any():
-            yield pa.RecordBatch.from_arrays([pa.array(own[keep]), pa.array(span[keep] & ~_KNOWN)], names=["id", "span"])
+    """Of rows by route: dealt rows of (id, span) of those whose route has two texts or a known row."""
+
+    def kept():
+        for route, own, span in _gathered(batches, 3):
+            order = np.argsort(route)
+            route, own, span = route[order], own[order], span[order]
+            group = np.flatnonzero(_changes(route))
+            good = (np.maximum.reduceat(span, group) >= _KNOWN) | (np.minimum.reduceat(own, group) != np.maximum.reduceat(own, group))
+            keep = np.repeat(good, np.diff(np.append(group, len(route))))
+            if keep.any():
+                yield own[keep], span[keep] & ~_KNOWN
+
+    return _dealt(kept())
 
 
 def _whole_runs(batches, n_cols: int) -> Iterator[tuple[np.ndarray, ...]]:
@@ -340,31 +382,43 @@ def _whole_runs(batches, n_cols: int) -> Iterator[tuple[np.ndarray, ...]]:
 
 
 def _ranges(t: int):
-    """Of shared windows sorted by text: the token ranges of starts that two functions share, an array for each text."""
+    """Of each text's shared windows: its number of words, and the token ranges of starts that two functions share, as arrays."""
 
     def run(batches):
-        for own, span in _whole_runs(batches, 2):
+        for own, span in _gathered(batches, 2):
+            order = np.lexsort((span, own))
+            own, span = own[order], span[order]
             new = np.concatenate(([True], (own[1:] != own[:-1]) | (span[1:] != span[:-1])))
             own, span = own[new], span[new]
-            text = np.cumsum(np.concatenate(([0], own[1:] != own[:-1])))
-            base = text.astype(np.int64) << (_AT + 1)
-            # a function's windows are disjoint, so the number of open ones is that of functions
-            at = np.concatenate((base + ((span >> _AT) & _SPAN), base + (span & _SPAN) + 1))
-            step = np.repeat(np.array([1, -1]), len(own))
-            at, where = np.unique(at, return_inverse=True)
-            depth = np.cumsum(np.bincount(where, step, len(at)).astype(np.int64))
-            lo, hi = true_runs(depth[:-1] >= 2)
-            if not len(lo):
-                continue
-            a, z = at[lo], at[hi + 1] + t - 1
-            first = np.concatenate(([True], a[1:] > z[:-1]))
-            a, z = a[first], z[np.append(np.flatnonzero(first)[1:] - 1, len(z) - 1)]
-            of, low = a >> (_AT + 1), a & ((1 << (_AT + 1)) - 1)
-            cut = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
-            ends = pa.array(np.append(cut, len(of)).astype(np.int32))
-            ids = own[np.concatenate(([True], own[1:] != own[:-1]))]
-            lists = [pa.ListArray.from_arrays(ends, pa.array(c.astype(np.int32))) for c in (low, low + z - a)]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[of[cut]]), *lists], names=["id", "starts", "stops"])
+            count = span >> (2 * _AT) == _COUNT
+            texts, n_words = own[count], span[count] & _SPAN
+            own, span = own[~count], span[~count]
+            none = pa.ListArray.from_arrays(pa.array([0], pa.int32()), pa.array([], pa.int32()))
+            ids, *lists = ranges(own, span) if len(own) else (own, none, none)
+            at = np.full(len(texts), -1)
+            at[np.searchsorted(texts, ids)] = np.arange(len(ids))  # every text has its number of words
+            at = pa.array(at, mask=at < 0)
+            yield pa.RecordBatch.from_arrays([pa.array(texts), *(x.take(at) for x in lists), pa.array(n_words)], names=["id", "starts", "stops", "n_words"])
+
+    def ranges(own, span):
+        text = np.cumsum(np.concatenate(([0], own[1:] != own[:-1])))
+        base = text.astype(np.int64) << (_AT + 1)
+        # a function's windows are disjoint, so the number of open ones is that of functions
+        at = np.concatenate((base + ((span >> _AT) & _SPAN), base + (span & _SPAN) + 1))
+        step = np.repeat(np.array([1, -1]), len(own))
+        at, where = np.unique(at, return_inverse=True)
+        depth = np.cumsum(np.bincount(where, step, len(at)).astype(np.int64))
+        lo, hi = true_runs(depth[:-1] >= 2)
+        a, z = at[lo], at[hi + 1] + t - 1
+        first = np.ones(len(a), bool)
+        first[1:] = a[1:] > z[:-1]
+        a, z = a[first], z[np.append(first[1:], True)[: len(z)]]
+        of, low = a >> (_AT + 1), a & ((1 << (_AT + 1)) - 1)
+        cut = np.flatnonzero(_changes(of))
+        ends = pa.array(np.append(cut, len(of)).astype(np.int32))
+        ids = own[np.concatenate(([True], own[1:] != own[:-1]))]
+        lists = [pa.ListArray.from_arrays(ends, pa.array(c.astype(np.int32))) for c in (low, low + z - a)]
+        return ids[of[cut]], *lists
 
     return run
 
@@ -409,14 +463,14 @@ def _joined(own: np.ndarray, other: np.ndarray, lo: np.ndarray, hi: np.ndarray)
 
 
 def _contexts(t: int, need: int):
-    """Rows of (route, key, fp, id, lo, hi, first): the live runs of each text by pair of functions.
+    """Dealt rows of (route, fp, id, place, first), place with both ends of a run: the live runs of each text by pair of functions.
 
     Own tokens (column own) are masked. Of a batch's equal contexts the first of
     two texts go on by their key; the others are linked with the first and go by
     their text, merged where they overlap or follow each other.
     """
 
-    def run(batches):
+    def made_of(batches):
         hashed = RangeHash()
         for batch in batches:
             n = batch.num_rows
@@ -466,17 +520,15 @@ def _contexts(t: int, need: int):
             mine, at_lead, low_, high_ = (c[~on] for c in (text, text[group][which], lo, hi))
             mine, at_lead, low_, high_ = _joined(mine, at_lead, low_, high_)
             own_id, more = ids[text[on]], ids[mine]
-            lead = pa.array(np.concatenate((own_id, ids[at_lead])), mask=np.arange(len(own_id) + len(more)) < len(own_id))
-            both = lambda a, b, kind: pa.array(np.concatenate((a.astype(kind), b.astype(kind))))
-            yield pa.RecordBatch.from_arrays(
-                [both(key.view(np.int64)[on], more, np.int64), both(fp.view(np.int64)[on], np.zeros(len(more)), np.int64), both(own_id, more, np.int64), both(lo[on], low_, np.int32), both(hi[on], high_, np.int32), lead],
-                names=["route", "fp", "id", "lo", "hi", "first"],
-            )
+            place = (lo[on].astype(np.int64) << 31) | hi[on]
+            yield key.view(np.int64)[on], fp.view(np.int64)[on], own_id, place, own_id
+            yield more, np.zeros(len(more), np.int64), more, _DIRECT | (low_.astype(np.int64) << 31) | high_, ids[at_lead]
 
-    return run
+    return lambda batches: _dealt(made_of(batches))
 
 
-_CONTEXTS = "route long, fp long, id long, lo int, hi int, first long"
+_DIRECT = np.int64(1) << np.int64(62)  # the run is linked with the text first already
+_DEALT = "bucket int, rows binary"
 #: kind: a matched run of text a (0), two texts with one context (1), runs to compare (2), a context of a large group (3), a text with equal contexts (4), runs to compare first (5)
 _LINKS = "kind int, key long, fp long, a long, b long, a_lo int, a_hi int, b_lo int, b_hi int"
 
@@ -574,9 +626,9 @@ class _Pool:
 
 
 def _link_groups(batches):
-    """Links of each key's rows, which come sorted by context and text.
+    """Links of each key's rows.
 
-    Memory: a batch, the runs of a context's first text while it is the only one,
+    Memory: the rows of a bucket, the runs of a context's first text while it is the only one,
     and two runs of each context of a key.
     """
     pool = _Pool()
@@ -626,13 +678,14 @@ def _link_groups(batches):
         if cut:
             yield from _link_keys(*(c[:cut] for c in ended))
 
-    for batch in batches:
-        first = batch.column(5)
-        direct = np.asarray(first.is_valid())
-        cols = [batch.column(k).to_numpy().astype(np.int64) for k in range(5)]
+    for route, context, text, place, lead in _gathered(batches, 5):
+        order = np.lexsort((text, context, route))
+        route, context, text, place, lead = (c[order] for c in (route, context, text, place, lead))
+        direct = place >= _DIRECT
+        cols = [route, context, text, (place & ~_DIRECT) >> 31, place & ((1 << 31) - 1)]
         if direct.any():
             own, lo, hi = (c[direct] for c in cols[2:])
-            lead = first.drop_null().to_numpy()
+            lead = lead[direct]
             other = own != lead
             yield from pool.add((own, lo, hi), (own[other], lead[other]))
         rows = (*(c[~direct] for c in cols), np.zeros(int((~direct).sum()), bool))
@@ -1001,21 +1054,21 @@ def _spread(t: int):
 _SPANS = "id long, start long, stop long"
 
 
-def _search(rows: DataFrame, twins: DataFrame, t: int, similarity: float) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Tables of the texts that may have repeats (id, h), their spans in tokens (id, start, stop) and the links (a, b).
+def _search(rows: DataFrame, twins: DataFrame, t: int, similarity: float) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Tables of the texts that may have repeats (id, h), their spans in tokens (id, start, stop), the links (a, b), and the words of texts of t tokens or more (h, n_words).
 
     rows has doc_id, h and text, twins has h and low, the doc_id whose row stands for the text.
     """
     need = needed(t, similarity)
-    seen = rows.select("h", "text").mapInArrow(_windows(t), "route long, id long, span long").repartition("route").sortWithinPartitions("route")
-    shared = seen.mapInArrow(_shared, "id long, span long").repartition("id").sortWithinPartitions("id", "span")
-    ranges = materialize(shared.mapInArrow(_ranges(t), "id long, starts array<int>, stops array<int>"), "ranges")
+    seen = _by_bucket(rows.select("h", "text").mapInArrow(_windows(t), _DEALT))
+    shared = _by_bucket(seen.mapInArrow(_shared, _DEALT))
+    shares = materialize(shared.mapInArrow(_ranges(t), "id long, starts array<int>, stops array<int>, n_words long"), "ranges")
     settle(rows.sparkSession)
+    ranges = shares.filter("starts is not null")
     of = ranges.join(twins, ranges["id"] == twins["h"]).select("id", "low", "starts", "stops")
     texts = rows.join(of, rows["doc_id"].eqNullSafe(of["low"]) & (rows["h"] == of["id"])).select("id", "starts", "stops", "text")
     tok = texts.mapInArrow(_tokens, "h long, starts array<int>, stops array<int>, tok array<long>")
     tok = materialize(tok.withColumn("id", F.monotonically_increasing_id()), "tokens")
-    drop_materialized(ranges)
     settle(rows.sparkSession)
     alone = tok.select("id", F.explode("tok").alias("v")).groupBy("v").agg(F.min("id").alias("id"), F.max("id").alias("high")).filter("id = high")
     # each of the large shuffles ends with a table, so that no two of them are on disk at once
@@ -1026,7 +1079,7 @@ def _search(rows: DataFrame, twins: DataFrame, t: int, similarity: float) -> tup
     drop_materialized(alone)
     settle(rows.sparkSession)
     tok = masked.drop("own")
-    routed = masked.select("id", "starts", "stops", "tok", "own").mapInArrow(_contexts(t, need), _CONTEXTS).repartition("route").sortWithinPartitions("route", "fp", "id")
+    routed = _by_bucket(masked.select("id", "starts", "stops", "tok", "own").mapInArrow(_contexts(t, need), _DEALT))
     made = materialize(routed.mapInArrow(_link_groups, _LINKS), "links")
     settle(rows.sparkSession)
 
@@ -1113,7 +1166,7 @@ def _search(rows: DataFrame, twins: DataFrame, t: int, similarity: float) -> tup
     again = spans.join(again, "id", "left_semi").groupBy("id").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
     spread = tok.join(again, "id").select("id", "starts", "stops", "tok", "spans").mapInArrow(_spread(t), _SPANS)
     spans = spans.unionByName(spread).repartition("id").sortWithinPartitions("id").mapInArrow(_merged, _SPANS)
-    return tok.select("id", "h"), spans, edges.distinct()
+    return tok.select("id", "h"), spans, edges.distinct(), shares.select(F.col("id").alias("h"), "n_words")
 
 
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY) -> DataFrame:
@@ -1123,18 +1176,18 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, similarity: f
     rows = rows.withColumn("h", F.xxhash64("text"))
     # rows without an id can't be told apart: one of each text
     rows = rows.filter("doc_id is not null").unionByName(rows.filter("doc_id is null").groupBy("h").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text")).select("doc_id", "text", "h"))
-    n_words = F.regexp_count("text", F.lit(_WORD)).cast("long")
-    base = materialize(rows.select("doc_id", "h", n_words.alias("n_words")), "texts", narrow=True)
+    base = materialize(rows.select("doc_id", "h"), "texts", narrow=True)
     n = base.count()
     nameless = F.max(F.col("doc_id").isNull().cast("long"))
     twins = base.groupBy("h").agg(F.min("doc_id").alias("low"), (F.countDistinct("doc_id") + nameless).alias("n_docs"))
-    texts, spans, edges = _search(rows, twins.select("h", "low"), t, similarity)
+    texts, spans, edges, words = _search(rows, twins.select("h", "low"), t, similarity)
     comp = materialize(connected_components(edges), "classes", n)
     merged = spans.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("spans"))
     merged = merged.join(comp.withColumnRenamed("node", "id"), "id").join(texts, "id").select(F.col("h").alias("t"), "component", "spans")
     # copies: every row of a text shared by documents repeats the whole text
-    of = base.filter("doc_id is not null").distinct().join(twins.select("h", "n_docs"), "h").join(merged, F.col("h") == F.col("t"), "left")
-    twin = (F.col("n_docs") > 1) & (F.col("n_words") >= min_words)
+    twins = twins.filter("n_docs > 1").join(words, "h").select("h", "n_words")  # of texts with min_words words
+    of = base.filter("doc_id is not null").distinct().join(twins, "h", "left").join(merged, F.col("h") == F.col("t"), "left")
+    twin = F.col("n_words").isNotNull()
     of = of.filter(twin | F.col("spans").isNotNull())
     # component ids and hashes of texts without one are kept apart
     group = F.when(F.col("component").isNull(), F.struct(F.lit(1).alias("kind"), F.col("h").alias("of"))).otherwise(F.struct(F.lit(0).alias("kind"), F.col("component").alias("of")))

@@ -650,3 +650,27 @@ def test_mix(spark):
     for r in mixed:
         assert shard.setdefault((r["source"], r["mix_block"]), r["mix_shard"]) == r["mix_shard"]
     assert op10_mixing.mix(df.limit(0)).count() == 0
+
+
+def test_dealt_rows_come_together():
+    """Rows of many parts are few rows of Spark, and every bucket gets back all of its own."""
+    rng = np.random.default_rng(3)
+    parts = [tuple(rng.integers(-(2**62), 2**62, n) for _ in range(3)) for n in (5, 300_000, 0, 77)]
+    dealt = pa.Table.from_batches(list(op5_passages._dealt(iter(parts))))
+    assert dealt.num_rows <= 2 * 2**op5_passages.BUCKET_BITS
+    batches = dealt.sort_by("bucket").combine_chunks().to_batches(max_chunksize=777)
+    got = [np.stack(c, axis=1) for c in op5_passages._gathered(iter(batches), 3)]
+    first = [set(g[:, 0].tolist()) for g in got]
+    assert len(got) > 1 and sum(map(len, first)) == len(set().union(*first))
+    want = np.concatenate([np.stack(p, axis=1) for p in parts])
+    assert sorted(map(tuple, np.concatenate(got).tolist())) == sorted(map(tuple, want.tolist()))
+
+
+def test_windows_bring_the_number_of_words():
+    text = " ".join(f"w{k}" for k in range(60)) + " ... !"
+    batch = pa.RecordBatch.from_arrays([pa.array([7, 8, 9]), pa.array([text, "too short", text + " more"])], names=["h", "text"])
+    by_bucket = lambda made: pa.Table.from_batches(list(made)).sort_by("bucket").combine_chunks().to_batches()
+    shared = by_bucket(op5_passages._shared(by_bucket(op5_passages._windows(46)([batch]))))
+    found = [r for b in op5_passages._ranges(46)(shared) for r in b.to_pylist()]
+    assert sorted((r["id"], r["n_words"]) for r in found) == [(7, 60), (9, 61)]
+    assert all(r["starts"] == [0] for r in found)
